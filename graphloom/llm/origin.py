@@ -117,7 +117,7 @@ def label_files(files: DataFrame) -> DataFrame:
 
     rest = leaves.join(beliefs, "dir").withColumns({m: F.col(m) - F.col(t) for m, t in zip(COLUMNS, TOLD)})
     down = _pass(rest, False, "named", COLUMNS, [f"d_{m}" for m in COLUMNS])
-    final = down.select("path", *[(F.col(e) + F.col(f"d_{m}")).alias(m) for e, m in zip(EVIDENCE, COLUMNS)]).withColumn("top", F.greatest(*COLUMNS))
+    final = cut_lineage(down.select("path", *[(F.col(e) + F.col(f"d_{m}")).alias(m) for e, m in zip(EVIDENCE, COLUMNS)])).withColumn("top", F.greatest(*COLUMNS))
     label = F.coalesce(*[F.when(F.col(m) == F.col("top"), name) for m, name in zip(COLUMNS, LABELS)])
     p = F.exp(F.col(COLUMNS[HAND]) - F.col("top")) / sum((F.exp(F.col(m) - F.col("top")) for m in COLUMNS[1:]), F.exp(F.col(COLUMNS[0]) - F.col("top")))
     return final.select("path", label.alias("label"), p.alias("p_handwritten")).withColumn("handwritten", F.col("p_handwritten") >= 0.5)
