@@ -7,20 +7,15 @@ smaller depth, so a round without progress means that no finite chain is left.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.model import trimmed_lower
 from graphloom.session import cut_lineage
 
-BLANKS = " \t\n\r\f\v"
 SEPARATOR = " > "
 
 
-def trimmed_lower(column: Column) -> Column:
-    """A label without stray case and blanks."""
-    return F.lower(F.btrim(column, F.lit(BLANKS)))
-
-
 def parent_child(edges: DataFrame, kind: str = "contains", source: str = "source", target: str = "target", kind_col: str = "kind") -> DataFrame:
     """Links (parent, child) of one kind; rows with a null end do not count. Rows repeat as they do in edges."""
     return edges.filter(trimmed_lower(edges[kind_col]) == kind).filter(edges[source].isNotNull() & edges[target].isNotNull()).select(edges[source].alias("parent"), edges[target].alias("child"))
@@ -114,7 +109,8 @@ def hierarchy(links: DataFrame, order_col: str | None = None) -> DataFrame:
     come out once, with looped true and null root, depth and path. Repeated rows change nothing; null ends do not count;
     an empty table gives no rows.
 
-    Each round doubles the distance of all open pointers and joins path segments, so it takes log2(depth) joins.
+    Each round doubles the distance of all open pointers and joins path segments, so it takes log2(depth) joins. The
+    segments of looped nodes grow with the rounds, to at most four times the deepest path.
     """
     links = links.filter("parent IS NOT NULL AND child IS NOT NULL")
     first = F.min_by("parent", F.struct(order_col, "parent")) if order_col else F.min("parent")
@@ -130,8 +126,6 @@ def hierarchy(links: DataFrame, order_col: str | None = None) -> DataFrame:
         before = left
         ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("path").alias("p2"))
         moved = open_rows.join(ahead, "jump").select("node", "parent", F.col("j2").alias("jump"), F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"), F.concat("p2", F.lit(SEPARATOR), "path").alias("path"))
-        if left < 1000:  # few are open: a segment of a loop would only grow
-            moved = moved.withColumn("path", F.when(F.length("path") < 1 << 24, F.col("path")).otherwise(""))
         state = cut_lineage(state.filter("jump IS NULL").unionAll(moved))
     done = F.col("jump").isNull()
     return state.select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.when(done, F.col("root")).alias("root_id"), F.when(done, F.col("depth")).alias("depth"), F.when(done, F.col("path")).alias("path"), (~done).alias("looped"))

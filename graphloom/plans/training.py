@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.hierarchy import descendants, hierarchy, loops, parent_child, trimmed_lower
+from graphloom.operators.hierarchy import descendants, hierarchy, loops, parent_child
+from graphloom.operators.model import trimmed_lower
 from graphloom.operators.skew import distinct_counts, heavy_keys, key_quantiles
 from graphloom.sources.tables import read
 
@@ -46,8 +47,8 @@ def p5_line_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p5_found, p5_pair_counts, p5_line_quantiles)}
 
 _LINKS = r"""links AS (SELECT DISTINCT source AS parent, target AS child FROM edges
-  WHERE lower(trim(kind, E' \t\n\r\f\v')) = 'contains' AND source IS NOT NULL AND target IS NOT NULL)"""
-_PAIRS = r"""pairs AS (SELECT source, target, lower(trim(kind, E' \t\n\r\f\v')) AS kind, line FROM edges WHERE target <> '')"""
+  WHERE lower(trim(kind, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) = 'contains' AND source IS NOT NULL AND target IS NOT NULL)"""
+_PAIRS = r"""pairs AS (SELECT source, target, lower(trim(kind, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS kind, line FROM edges WHERE target <> '')"""
 
 ORACLES = {
     "p1_found": f"""WITH RECURSIVE {_LINKS},

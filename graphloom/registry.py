@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import training
+from graphloom.plans import catalog, graphs, training
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [training]
+MODULES = [catalog, graphs, training]
 
 
 def queries() -> dict[str, Query]:
@@ -21,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """Impact radius of a shared class by kind of symbol and distance."""
+    return graphs.impact_by_kind(spark, folder)
