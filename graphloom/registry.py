@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import catalog, graphs, training
+from graphloom.plans import catalog, graphs, searches, training
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [catalog, graphs, training]
+MODULES = [catalog, graphs, searches, training]
 
 
 def queries() -> dict[str, Query]:
