@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import catalog, graphs, resolutions, searches, training
+from graphloom.plans import catalog, graphs, resolutions, searches, sources, training
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [catalog, graphs, resolutions, searches, training]
+MODULES = [catalog, graphs, resolutions, searches, sources, training]
 
 
 def queries() -> dict[str, Query]:
