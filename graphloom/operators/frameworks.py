@@ -67,7 +67,7 @@ def handler_name(text: str | None) -> str:
         return m[2] or m[4]
     if m := re.match(r"\[\s*[\w\\]+::class\s*,\s*['\"](\w+)['\"]\s*\]", text):
         return m[1]
-    text = re.sub(r"\.as_view\(.*$|::class$", "", re.sub(r"^include\(\s*['\"]?|['\"]?\s*\)$", "", text.strip("'\"")))
+    text = re.sub(r"\.as_view\b.*$|::class$", "", re.sub(r"^include\(\s*['\"]?|['\"]?\s*\)$", "", text.strip("'\"")))
     return re.split(r"::|[.\\/]", text)[-1]
 
 

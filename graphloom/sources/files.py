@@ -93,5 +93,5 @@ def read_files(spark: SparkSession, root: str, include: Iterable[str] = (), excl
     rows = rows.withColumn("path", path).filter(included(F.col("path"), include, exclude))
     inside = "|".join(re.escape(d) for d in EXCLUDED_DIRS)
     rows = rows.filter(~F.col("path").rlike(rf"(^|/)({inside})/"))
-    text = F.when(F.col("length") <= MAX_BYTES, F.decode("content", F.lit("UTF-8")))
+    text = F.when(F.col("length") <= MAX_BYTES, F.make_valid_utf8(F.col("content").cast("string")))
     return rows.select("path", text.alias("content"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("content_hash"))
