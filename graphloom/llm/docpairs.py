@@ -108,7 +108,7 @@ def extract_functions(text: str, language: str | None = None) -> list[tuple[str,
     for k, line in enumerate(lines):
         for style in styles:
             m = SIGNATURES[style].match(line)
-            if not m or style == "indent" and not line.rstrip().endswith((":", "(", ",")):
+            if not m or style == "indent" and not re.search(r"[:(,]\s*$|\)\s*(?:->[^:]+)?:", line):
                 continue
             last = body_end(lines, k, style)
             note = ""
@@ -195,6 +195,7 @@ def prose(docstring: str) -> list[str]:
     text = re.sub(r"<param\s+name=\"(\w+)\"\s*>", r"\n@param \1 ", text, flags=re.I)
     text = re.sub(r"</?(summary|remarks|returns|value|p|br|ul|li|para|exception|example)\b[^<>]*>", "\n", text, flags=re.I)
     text = _HTML.sub(" ", text)
+    text = re.sub(r"^[ \t]*([-=~*/#_])\1{2,}.*\1{2,}[ \t]*$", "", text, flags=re.M)  # banners
     lines = [re.sub(r"\*+/\s*$", "", re.sub(r"^\s*(?:/\*+|\*+(?!\w)|///?!?|#+(?!\w)|--+(?=\s)|\"\"\"|''')?", lambda m: " " * (len(m[0]) - len(m[0].lstrip()) if not m[0].strip() else 0), raw)) for raw in text.split("\n")]
     kept, k = [], 0
     while k < len(lines):
@@ -204,7 +205,7 @@ def prose(docstring: str) -> list[str]:
             kept.append("")
             continue
         bare = line.strip()
-        silent = not bare or not _WORD.search(bare) or _CODE.match(bare) and not _TAG.match(bare) or _TOOL.match(bare) or re.match(r"^[\w ]{1,40}:\s*$", bare) or re.match(r"^([-=~*/#_])\1{2,}.*\1{2,}$", bare)
+        silent = not bare or not _WORD.search(bare) or _CODE.match(bare) and not _TAG.match(bare) or _TOOL.match(bare) or re.match(r"^[\w ]{1,40}:\s*$", bare)
         kept.append("" if silent else bare)
         k += 1
     out: list[str] = []

@@ -23,7 +23,7 @@ STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 
 
-def cuts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, encoder: bpe.Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cuts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, encoder: bpe.Encoder, inner_ids: int = INNER_IDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Possible cuts of one text: byte offsets, ids before each (prefix sums) and kinds, all sorted by offset."""
     ends = np.append(starts[1:], data.size)
     blank = BLANK[data[ends - 1]]
@@ -39,7 +39,7 @@ def cuts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, encoder: bpe.
     follows = np.append(BLANK[data[starts[1:]]], True)
     kind = np.where(run >= 2, PARAGRAPH, np.where(run == 1, LINE, np.where(wide | after & (follows | blank), SENTENCE, WORD)))
     where, before, kinds = np.append(0, ends), np.append(0, np.cumsum(counts, dtype=np.int64)), np.append(PARAGRAPH, kind)
-    big = np.flatnonzero(counts > INNER_IDS)
+    big = np.flatnonzero(counts > inner_ids)
     if big.size:
         more_where, more_before = [], []
         for k in big.tolist():
@@ -59,7 +59,7 @@ def cuts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, encoder: bpe.
 
 def pieces(before: np.ndarray, kinds: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Index pairs of cuts: each piece has at most limit ids and starts with up to overlap ids of the one before."""
-    out, start, last = [], 0, before.size - 1
+    out, start, done, last = [], 0, 0, before.size - 1
     natural = np.flatnonzero(kinds >= WORD)
     while True:
         base = before[start]
@@ -67,21 +67,21 @@ def pieces(before: np.ndarray, kinds: np.ndarray, limit: int, overlap: int) -> l
         if high >= last:
             out.append((start, last))
             return out
-        cut = 0
+        if high <= done and start < done:
+            start = done  # nothing new fits behind the overlap
+            continue
+        cut = max(high, start + 1)  # without a boundary within the limit: a hard cut
         for least in (base + limit // 2, base + overlap + 1):
-            low = int(np.searchsorted(before, least, "left"))
+            low = max(int(np.searchsorted(before, least, "left")), done + 1)
             if low <= high and (best := int((window := kinds[low : high + 1]).max())) > HARD:
                 cut = low + int(np.flatnonzero(window == best)[-1])
                 break
-        if not cut:
-            cut = max(high, start + 1)  # no boundary within the limit: a hard cut
         out.append((start, cut))
         target = before[cut] - min(overlap, before[cut] - base - 1)
-        k = int(np.searchsorted(natural, np.searchsorted(before, target, "left"), "left"))
-        start_next = int(natural[k]) if k < natural.size else cut
-        if start_next >= cut:
-            start_next = int(np.searchsorted(before, target, "left"))
-        start = min(max(start_next, start + 1), cut)
+        first = int(np.searchsorted(before, target, "left"))
+        k = int(np.searchsorted(natural, first, "left"))
+        again = int(natural[k]) if k < natural.size else cut
+        start, done = min(max(again if again < cut else first, start + 1), cut), cut
 
 
 def split_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, overlap: int = 64, vocabulary_path: str = VOCABULARY, with_text: bool = True) -> DataFrame:
@@ -95,10 +95,10 @@ def split_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     One narrow pass without a shuffle; texts of at most limit bytes are dropped in the scan, as a token has a byte or
     more. Null, empty and short texts give no row; repeated rows are split each; an empty table gives no rows; further
-    columns of df are not read. limit must be at least twice overlap.
+    columns of df are not read. limit must be at least 8 and at least twice overlap.
     """
-    if not 0 <= overlap <= limit // 2:
-        raise ValueError("overlap must be between 0 and half of limit")
+    if limit < 8 or not 0 <= overlap <= limit // 2:
+        raise ValueError("limit must be at least 8, and overlap between 0 and half of it")
     shared = df.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
     kept = df.select(df[id_col], df[text_col].alias("__text")).filter(F.octet_length("__text") > limit)
     id_type = kept.schema[0].dataType
@@ -117,7 +117,7 @@ def split_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 for k in np.flatnonzero(np.diff(total) > limit).tolist():
                     own = slice(found.text_first[k], found.text_first[k + 1])
                     text = data[bounds[k] : bounds[k + 1]]
-                    plans[k] = (text, *cuts(text, found.starts[own] - bounds[k], found.counts[own], encoder))
+                    plans[k] = (text, *cuts(text, found.starts[own] - bounds[k], found.counts[own], encoder, min(INNER_IDS, limit // 4)))
                 yield from split_chunk(plans, names, row, encoder)
 
     def split_chunk(plans: dict, names: pa.Array, row: int, encoder: bpe.Encoder) -> Iterator[pa.RecordBatch]:
