@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as fx
 from graphloom.functions.text import file_glob
-from graphloom.operators import context, extract, frameworks, graph, resolve, scans, search, stats, storage
+from graphloom.operators import context, extract, frameworks, graph, report, resolve, scans, search, stats, storage
 from graphloom.sources import files as sources
 
 TABLES = ("nodes", "edges", "refs", "files", "sources")
@@ -168,6 +168,13 @@ class CodeGraph:
         found = context.relevant(self.nodes, self.edges, question, most=max(1, min(most, 100)))
         return context.report(question, found, context.code_blocks(found.nodes, self.store.read("sources")), form)
 
+    def explore(self, question: str, most_files: int = 8) -> str:
+        """An exploration of a question: the best files with their code, and how their symbols relate."""
+        return report.explore(question, self.nodes, self.edges, self.store.read("sources"), self.files.count(), max(1, min(most_files, 20)))
+
+    def listing(self, prefix: str = "", form: str = "tree", limit: int = 500) -> str:
+        return report.file_listing(self.files, prefix, form, limit)
+
     def optimize(self, partitions: int = 1) -> None:
         for name in ("nodes", "edges", "refs", "files"):
             self.store.optimize(name, partitions)

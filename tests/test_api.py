@@ -46,6 +46,10 @@ def test_project(spark, project, tmp_path):
     report = graph.context("How does processValue format a value?")
     assert "processValue" in report and "return formatValue(x);" in report
 
+    explored = graph.explore("How does processValue format a value?")
+    assert "## src/utils.ts" in explored and "calls formatValue" in explored
+    assert graph.listing().splitlines()[:2] == ["src/", "  base.ts"] and "typescript: 5 files" in graph.listing(form="grouped")
+
     (project / "src/utils.ts").write_text(PROJECT["src/utils.ts"].replace("processValue", "handleValue"))
     (project / "src/extra.ts").write_text("import { formatValue } from './utils';\nexport function extra() { return formatValue(1); }\n")
     (project / "tests/main.test.ts").unlink()
@@ -89,3 +93,19 @@ def test_stream(spark, tmp_path):
     query = feed.synchronise(changes, lambda batch, _: seen.extend((r.path, r.status) for r in feed.latest_changes(batch).collect()), str(tmp_path / "state"), once=True)
     query.awaitTermination(120)
     assert seen == [("a.ts", "removed")]
+
+
+def test_manifests(tmp_path):
+    from graphloom.operators import extract, report
+    from graphloom.sources import manifests
+
+    (tmp_path / "tsconfig.json").write_text('{ // c\n "compilerOptions": {"baseUrl": "src", /* "x": 1, */ "paths": {"@/*": ["./*"], "@lib/*": ["lib/*"], "url": ["a//b"],},},}')
+    assert manifests.load_aliases(str(tmp_path)) == [("@lib/*", "src/lib/*"), ("url", "src/a/b"), ("@/*", "src/*")]
+    assert manifests.load_aliases(str(tmp_path / "none")) == []
+    config = manifests.Config(include=["src/**"], patterns=[("todo", r"TODO\((\w+)\)", "constant"), ("bad", "(a+)+", "constant")])
+    config.save(str(tmp_path / "c.json"))
+    assert manifests.Config.load(str(tmp_path / "c.json")) == config and config.problems() == ["unsafe or invalid expression: bad"]
+    registry = extract.default_registry()
+    registry.register("patterns", manifests.pattern_extractor(config), framework=True)
+    assert ("constant", "me") in {(n["kind"], n["name"]) for n in extract.extract_source("a.ts", "// TODO(me)\n", registry=registry).nodes}
+    assert report.truncated("a\n" * 10, 11).startswith("a\na\na\na\na") and report.size_text(2048) == "2.0 KB"
