@@ -37,6 +37,15 @@ def _endless(links: DataFrame) -> DataFrame:
         pairs = cut_lineage(further.select("v", F.col("w").alias("u")).repartition("v").dropDuplicates(["v", "u"]))
 
 
+def _endless_parents(links: DataFrame) -> DataFrame:
+    """Hashes v of the parents of links (parent, child) that are on loops or below; their children are as well.
+
+    Only nodes that are parents themselves take part, which leaves out the mass of nodes at the ends of a tree.
+    """
+    hashed = links.select(F.xxhash64("child").alias("v"), F.xxhash64("parent").alias("u"))
+    return _endless(hashed.join(hashed.select(F.col("u").alias("v")).distinct(), "v", "left_semi"))
+
+
 def loops(links: DataFrame) -> DataFrame:
     """Nodes on or below loops: (node_id, cycle_id), a row for each loop above the node; cycle_id is its smallest node.
 
@@ -49,9 +58,7 @@ def loops(links: DataFrame) -> DataFrame:
     no chain is endless; so loops that share nodes meet, and no step builds the pairs of a loop.
     """
     links = links.select("parent", "child")
-    hashed = _endless(links.select(F.xxhash64("child").alias("v"), F.xxhash64("parent").alias("u")))
-    core = links.join(hashed, F.xxhash64("child") == F.col("v"), "left_semi").join(hashed, F.xxhash64("parent") == F.col("v"), "left_semi")
-    core = cut_lineage(core.distinct())
+    core = cut_lineage(links.join(_endless_parents(links), F.xxhash64("parent") == F.col("v"), "left_semi").distinct())
     members = core.filter("parent = child").select(F.col("child").alias("node"), F.col("child").alias("loop"))
     graph = core.filter("parent <> child")
     while True:
@@ -109,41 +116,61 @@ def hierarchy(links: DataFrame, order_col: str | None = None) -> DataFrame:
     come out once, with looped true and null root, depth and path. Repeated rows change nothing; null ends do not count;
     an empty table gives no rows.
 
-    Each round doubles the distance of all open pointers and joins path segments, so it takes log2(depth) joins. The
-    segments of looped nodes grow with the rounds, to at most four times the deepest path.
+    Each round doubles the distance of all open pointers and joins path segments, so it takes log2(depth) joins. Only
+    nodes with children take part; the others get their paths in one last join. The segments of looped nodes grow with the
+    rounds, to at most four times the deepest path.
     """
     links = links.filter("parent IS NOT NULL AND child IS NOT NULL")
     first = F.min_by("parent", F.struct(order_col, "parent")) if order_col else F.min("parent")
-    parents = links.groupBy(F.col("child").alias("node")).agg(first.alias("up"))
-    nodes = links.select(F.explode(F.array("parent", "child")).alias("node")).distinct().join(parents, "node", "left")
-    state = cut_lineage(nodes.select("node", F.col("up").alias("parent"), F.col("up").alias("jump"), F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("node").alias("path")))
-    before = -1
-    while True:
-        open_rows = state.filter("jump IS NOT NULL")
-        left = open_rows.count()
-        if left in (0, before):
-            break
+    parents = cut_lineage(links.groupBy(F.col("child").alias("node")).agg(first.alias("up")))
+    inner = links.select(F.col("parent").alias("node")).distinct()
+    root = F.col("up").isNull()
+    start = inner.join(parents, "node", "left").select("node", F.col("up").alias("parent"), F.col("up").alias("jump"), F.when(root, F.col("node")).alias("root"), F.when(root, 0).otherwise(1).alias("depth"), F.col("node").alias("path"))
+    start = cut_lineage(start)
+    closed, open_rows, before = start.filter("jump IS NULL"), start.filter("jump IS NOT NULL"), -1
+    while (left := open_rows.count()) not in (0, before):
         before = left
-        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("path").alias("p2"))
-        moved = open_rows.join(ahead, "jump").select("node", "parent", F.col("j2").alias("jump"), F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"), F.concat("p2", F.lit(SEPARATOR), "path").alias("path"))
-        state = cut_lineage(state.filter("jump IS NULL").unionAll(moved))
-    done = F.col("jump").isNull()
-    return state.select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.when(done, F.col("root")).alias("root_id"), F.when(done, F.col("depth")).alias("depth"), F.when(done, F.col("path")).alias("path"), (~done).alias("looped"))
+        ahead = closed.unionAll(open_rows).select(F.col("node").alias("jump"), F.col("jump").alias("j2"), F.col("root").alias("r2"), F.col("depth").alias("d2"), F.col("path").alias("p2"))
+        moved = cut_lineage(open_rows.join(ahead, "jump").select("node", "parent", F.col("j2").alias("jump"), F.col("r2").alias("root"), (F.col("depth") + F.col("d2")).alias("depth"), F.concat("p2", F.lit(SEPARATOR), "path").alias("path")))
+        closed, open_rows = closed.unionAll(moved.filter("jump IS NULL")), moved.filter("jump IS NOT NULL")
+
+    above = closed.select("node", "root", "depth", "path")
+    leaves = parents.join(inner, "node", "left_anti").join(above.withColumnRenamed("node", "up"), "up", "left")
+    looped = F.col("path").isNull()
+    ends = leaves.select(F.col("node").alias("node_id"), F.col("up").alias("parent_id"), F.col("root").alias("root_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(SEPARATOR), "node").alias("path"), looped.alias("looped"))
+    none = F.lit(None).cast("string")
+    walked = closed.select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", "path", F.lit(False).alias("looped"))
+    lost = open_rows.select(F.col("node").alias("node_id"), F.col("parent").alias("parent_id"), none.alias("root_id"), F.lit(None).cast("int").alias("depth"), none.alias("path"), F.lit(True).alias("looped"))
+    return walked.unionAll(lost).unionAll(ends)
 
 
 def descendants(links: DataFrame) -> DataFrame:
     """All descendants of every node that is neither on a loop nor below one: (node_id, descendant_id, distance int).
 
     All parents count and distance is the shortest. Repeated rows change nothing, null ends do not count, an empty table
-    gives no rows. Round k joins the pairs of distance 2**k with all shorter ones.
+    gives no rows. Round k joins the pairs of distance 2**k with all shorter ones, among nodes with children; the others
+    follow in one last join, and only those with several parents are reduced again.
     """
-    links = links.filter("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct()
-    looped = _endless(links.select(F.xxhash64("child").alias("v"), F.xxhash64("parent").alias("u")))
-    steps = cut_lineage(links.join(looped, F.xxhash64("child") == F.col("v"), "left_anti").select(F.col("child").alias("v"), F.col("parent").alias("u")))
+    links = cut_lineage(links.filter("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct())
+    endless = cut_lineage(_endless_parents(links))
+    below = links.join(endless, F.xxhash64("parent") == F.col("v"), "left_semi").select("child").distinct()
+    links = links.join(below, "child", "left_anti")
+    inner = links.select(F.col("parent").alias("child")).distinct()
+    steps = cut_lineage(links.join(inner, "child", "left_semi").select(F.col("child").alias("v"), F.col("parent").alias("u")))
     near, width = steps.select("v", "u", F.lit(1).alias("distance")), 1
     while not steps.isEmpty():
         far = steps.join(near.select(F.col("v").alias("u"), F.col("u").alias("w"), "distance"), "u").select("v", F.col("w").alias("u"), (F.col("distance") + width).alias("distance"))
         steps = cut_lineage(steps.join(steps.select(F.col("v").alias("u"), F.col("u").alias("w")), "u").select("v", F.col("w").alias("u")).distinct())
         near = cut_lineage(near.unionAll(far).groupBy("v", "u").agg(F.min("distance").alias("distance")))
         width *= 2
-    return near.select(F.col("u").alias("node_id"), F.col("v").alias("descendant_id"), "distance")
+    leaves = links.join(inner, "child", "left_anti")
+    several = leaves.groupBy("child").count().filter("count > 1").select("child")
+
+    def climb(rows: DataFrame) -> DataFrame:
+        own = rows.select(F.col("child").alias("v"), F.col("parent").alias("u"), F.lit(1).alias("distance"))
+        over = rows.join(near.select(F.col("v").alias("parent"), F.col("u").alias("w"), "distance"), "parent")
+        return own.unionAll(over.select(F.col("child").alias("v"), F.col("w").alias("u"), F.col("distance") + 1))
+
+    single = climb(leaves.join(several, "child", "left_anti"))
+    shared = climb(leaves.join(several, "child", "left_semi")).groupBy("v", "u").agg(F.min("distance").alias("distance"))
+    return near.unionAll(single).unionAll(shared).select(F.col("u").alias("node_id"), F.col("v").alias("descendant_id"), "distance")
