@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANKS = " \t\n\r\f\v"
+from graphloom.operators.model import newest, trimmed_lower
+
 #: Most lines between a comment and the signature that it describes.
 COMMENT_DISTANCE = 1
 
@@ -249,17 +250,6 @@ def _tells(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
         yield pd.Series([tells(d, n, s) for d, n, s in zip(docs, names, signatures)], dtype="bool")
 
 
-def _clean(column: Column) -> Column:
-    return F.lower(F.btrim(column, F.lit(BLANKS)))
-
-
-def newest(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
-    """One row for each non-null key: columns of its row of the largest order (null is oldest; equal ones by content)."""
-    own = F.struct(*[F.col(c) for c in columns])
-    rank = F.struct(F.coalesce(F.col(order).cast("long"), F.lit(-(2**63))), F.xxhash64(*[F.col(c) for c in columns]))
-    return df.filter(df[key].isNotNull()).groupBy(key).agg(F.max_by(own, rank).alias("own")).select(key, *[F.col(f"own.{c}").alias(c) for c in columns])
-
-
 def documented_functions(nodes: DataFrame) -> DataFrame:
     """Pairs of code and description: (node_id, name, signature, docstring), one row for each function or method that has both.
 
@@ -272,7 +262,7 @@ def documented_functions(nodes: DataFrame) -> DataFrame:
     after it, on candidates only.
     """
     rows = newest(nodes, "id", "updated_at", ["kind", "name", "signature", "docstring"])
-    rows = rows.filter(_clean(F.col("kind")).isin("function", "method")).filter("btrim(signature, ' \\t\\n\\r\\f') <> '' AND btrim(docstring, ' \\t\\n\\r\\f') <> ''")
+    rows = rows.filter(trimmed_lower(F.col("kind")).isin("function", "method")).filter("btrim(signature, ' \\t\\n\\r\\f') <> '' AND btrim(docstring, ' \\t\\n\\r\\f') <> ''")
     return rows.filter(_tells("docstring", "name", "signature")).select(F.col("id").alias("node_id"), "name", "signature", "docstring")
 
 

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.docpairs import newest
+from graphloom.operators.model import newest
 from graphloom.session import cut_lineage
 
 LABELS = ["handwritten", "generated", "minified", "vendored", "blob"]

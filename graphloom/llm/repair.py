@@ -16,11 +16,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANKS = " \t\n\r\f\v"
+from graphloom.operators.model import newest, trimmed_lower
+
 #: Terminals: a statement; openers and closers of blocks, literals and comments; a conflict marker; a foreign token.
 STATEMENT, OPEN, CLOSE, QUOTE, UNQUOTE, MARKER, FOREIGN = "s", "{", "}", '"', "'", "M", "X"
 #: Grammar in binary form: P -> I P | I; I -> s | { R | " Q; R -> P } | }; Q -> s ' | '.
@@ -186,10 +187,6 @@ def _judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         yield pd.DataFrame({"cost": costs, "kind": kinds})
 
 
-def _clean(column: Column) -> Column:
-    return F.lower(F.btrim(column, F.lit(BLANKS)))
-
-
 def broken_sources(files: DataFrame, file_types: DataFrame) -> DataFrame:
     """Every path once, by its newest row: (path, repository, language, repair_cost int, reason string, broken boolean).
 
@@ -203,13 +200,12 @@ def broken_sources(files: DataFrame, file_types: DataFrame) -> DataFrame:
     One shuffle by path after columns are cut to four; each distinct diagnostic is parsed once a worker. The extensions
     are joined, so Spark broadcasts them by their size.
     """
-    newest = F.max_by(F.struct("language", "errors"), F.struct(F.coalesce("indexed_at", F.lit(-(2**63))), F.xxhash64(F.to_json(F.struct("language", "errors")))))
-    rows = files.filter(files["path"].isNotNull()).select("path", "language", "errors", "indexed_at").groupBy("path").agg(newest.alias("own")).select("path", "own.language", "own.errors")
-    told = F.filter("errors", lambda e: e.isNotNull() & (F.coalesce(_clean(e["severity"]), F.lit("")) != "warning"))
+    rows = newest(files, "path", "indexed_at", ["language", "errors"])
+    told = F.filter("errors", lambda e: e.isNotNull() & (F.coalesce(trimmed_lower(e["severity"]), F.lit("")) != "warning"))
     rows = rows.withColumn("told", told).withColumn("verdict", _judge(F.transform("told", lambda e: e["message"]), F.transform("told", lambda e: e["code"])))
     extension = F.lower(F.regexp_extract(F.regexp_extract("path", r"([^/]*)$", 1), r"(\.[^.]*)$", 1))
-    known = file_types.groupBy(_clean(file_types["ext"]).alias("ext")).agg(F.collect_set(_clean(file_types["lang_name"])).alias("names"))
-    rows = rows.withColumn("own_ext", extension).join(known, F.col("own_ext") == F.col("ext"), "left").withColumn("language", _clean(F.col("language")))
+    known = file_types.groupBy(trimmed_lower(file_types["ext"]).alias("ext")).agg(F.collect_set(trimmed_lower(file_types["lang_name"])).alias("names"))
+    rows = rows.withColumn("own_ext", extension).join(known, F.col("own_ext") == F.col("ext"), "left").withColumn("language", trimmed_lower(F.col("language")))
     foreign = F.col("names").isNotNull() & F.col("language").isNotNull() & ~F.col("language").isin("unknown", "") & ~F.array_contains("names", F.col("language"))
     foreign = F.coalesce(foreign, F.lit(False))
     cost = F.coalesce(F.col("verdict.cost"), F.lit(0)) + foreign.cast("int")
