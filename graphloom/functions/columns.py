@@ -119,3 +119,18 @@ def source_lines(text: Column, first: Column, last: Column) -> Column:
     """Lines first to last of a text, counted from 1."""
     return F.array_join(F.slice(F.split(text, "\r?\n"), F.greatest(first, F.lit(1)), F.greatest(last - F.greatest(first, F.lit(1)) + 1, F.lit(0))), "\n")
 
+
+
+def json_strings(text: Column) -> Column:
+    """A JSON array of strings as an array; null where it is malformed."""
+    return F.from_json(text, "array<string>", {"mode": "PERMISSIVE"})
+
+
+def json_map(text: Column) -> Column:
+    """A JSON object as a map of strings; null where it is malformed."""
+    return F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})
+
+
+def node_json(*columns: str) -> Column:
+    """A row as JSON text; null fields are left out."""
+    return F.to_json(F.struct(*columns))

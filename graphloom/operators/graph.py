@@ -260,3 +260,21 @@ def module_structure(nodes: DataFrame) -> DataFrame:
     files = nodes.filter("kind = 'file'").select("file_path").distinct()
     folder = F.when(F.instr("file_path", "/") == 0, ".").otherwise(F.regexp_replace("file_path", "/[^/]*$", ""))
     return files.groupBy(folder.alias("directory")).agg(F.array_sort(F.collect_list("file_path")).alias("files"))
+
+
+def node_context(edges: DataFrame, nodes: DataFrame, node_id: str) -> DataFrame:
+    """What surrounds a symbol: distinct (role, node_id), role being focal, ancestor, child, incoming, outgoing, type or import.
+
+    Links other than contains give incoming and outgoing; types are ends of type_of and returns links; imports are those
+    of the node of the symbol's file. No rows if the symbol does not exist.
+    """
+    known = nodes.select("id", "kind", "file_path")
+    focal = known.filter(F.col("id") == node_id)
+    chain = ancestors(edges, nodes, node_id).join(focal.select(F.lit(1)).limit(1), how="left_semi").select(F.lit("ancestor").alias("role"), "node_id")
+    out, into = edges.filter(F.col("source") == node_id), edges.filter(F.col("target") == node_id)
+    file_node = known.filter("kind = 'file'").join(focal.select("file_path"), "file_path", "left_semi").select(F.col("id").alias("source"))
+    rows = out.filter("kind = 'contains'").select(F.lit("child").alias("role"), F.col("target").alias("id"))
+    rows = rows.unionAll(into.filter("kind <> 'contains'").select(F.lit("incoming"), "source")).unionAll(out.filter("kind <> 'contains'").select(F.lit("outgoing"), "target"))
+    rows = rows.unionAll(out.filter("kind IN ('type_of', 'returns')").select(F.lit("type"), "target")).unionAll(edges.filter("kind = 'imports'").join(file_node, "source", "left_semi").select(F.lit("import"), "target"))
+    rows = rows.join(known.select("id"), "id", "left_semi").select("role", F.col("id").alias("node_id")).unionAll(focal.select(F.lit("focal"), "id"))
+    return rows.unionAll(chain).distinct()

@@ -113,7 +113,7 @@ def stats_counts(spark: SparkSession, folder: str) -> DataFrame:
     return stats.totals(views.nodes(spark, folder, "kind"), views.edges(spark, folder, "source", "target", "kind"), views.files(spark, folder, "language"))
 
 
-@query(sql("SELECT language, count(*) AS files, sum(size) AS bytes FROM f GROUP BY 1", views.F))
+@query(sql("SELECT language, count(*) AS files, sum(size)::bigint AS bytes FROM f GROUP BY 1", views.F))
 def files_by_language(spark: SparkSession, folder: str) -> DataFrame:
     return stats.files_by_language(views.files(spark, folder, "language", "size"))
 
@@ -178,7 +178,7 @@ def delete_resolved_refs(spark: SparkSession, folder: str) -> DataFrame:
     return storage.without_references(refs, refs.filter("reference_kind = 'imports'")).select("ref_id")
 
 
-@query(sql("SELECT name, id, rank FROM (SELECT lower(name) AS name, id, row_number() OVER (PARTITION BY lower(name) ORDER BY coalesce(is_exported, false) DESC, id) AS rank FROM n) WHERE rank <= 2", views.N))
+@query(sql("SELECT name, id, rank::int AS rank FROM (SELECT lower(name) AS name, id, row_number() OVER (PARTITION BY lower(name) ORDER BY coalesce(is_exported, false) DESC, id) AS rank FROM n) WHERE rank <= 2", views.N))
 def topn_per_name(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.nodes(spark, folder, "name", "is_exported").withColumn("name", F.lower("name"))
     order = W.partitionBy("name").orderBy(F.coalesce("is_exported", F.lit(False)).desc(), "id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import columns as fx
 from graphloom.operators import graph
+from graphloom.operators.hierarchy import hierarchy
 from graphloom.plans import views
 from graphloom.plans.views import BOX, HOT, TYPE, E, N, sql
 
@@ -220,3 +221,30 @@ def impact_by_kind(spark: SparkSession, folder: str) -> DataFrame:
     edges, nodes = _both(spark, folder)
     found = graph.reach(edges, graph.start(nodes, TYPE), 2, direction="incoming", through=nodes)
     return found.join(nodes, F.col("node_id") == F.col("id")).groupBy("kind", "depth").agg(F.count("*").alias("symbols"))
+
+
+@query(
+    sql(
+        f"""SELECT DISTINCT role, node AS node_id FROM (SELECT 'focal' AS role, id AS node FROM n WHERE id = '{BOX}' UNION ALL SELECT 'ancestor', node FROM chain WHERE depth > 0
+        UNION ALL SELECT 'child', target FROM e WHERE source = '{BOX}' AND kind = 'contains' UNION ALL SELECT 'incoming', source FROM e WHERE target = '{BOX}' AND kind <> 'contains'
+        UNION ALL SELECT 'outgoing', target FROM e WHERE source = '{BOX}' AND kind <> 'contains' UNION ALL SELECT 'type', target FROM e WHERE source = '{BOX}' AND kind IN ('type_of', 'returns')
+        UNION ALL SELECT 'import', target FROM e WHERE kind = 'imports' AND source IN (SELECT id FROM n WHERE kind = 'file' AND file_path IN (SELECT file_path FROM n WHERE id = '{BOX}'))) WHERE node IN (SELECT id FROM n)""",
+        N, E,
+        recursive=f"""p AS (SELECT target AS node, arg_min(source, edge_id) AS parent FROM e WHERE kind = 'contains' GROUP BY 1),
+        chain(node, depth, seen) AS (SELECT '{BOX}', 0, ['{BOX}'] UNION ALL SELECT p.parent, c.depth + 1, list_append(c.seen, p.parent) FROM chain c JOIN p ON p.node = c.node JOIN n ON n.id = p.parent WHERE NOT list_contains(c.seen, p.parent))""",
+    )
+)
+def node_context(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.node_context(*_both(spark, folder, "kind", "file_path"), BOX)
+
+
+_DEPTHS = """up AS (SELECT target AS node, min(source) AS parent FROM e WHERE kind = 'contains' GROUP BY 1),
+  walk(node, depth) AS (SELECT source, 0 FROM (SELECT DISTINCT source FROM e WHERE kind = 'contains') WHERE source NOT IN (SELECT node FROM up) UNION ALL SELECT u.node, w.depth + 1 FROM walk w JOIN up u ON u.parent = w.node)"""
+
+
+@query(sql("SELECT n.kind, w.depth::int AS depth, count(*) AS symbols FROM walk w JOIN n ON n.id = w.node GROUP BY 1, 2", N, E, recursive=_DEPTHS))
+def depth_by_kind(spark: SparkSession, folder: str) -> DataFrame:
+    """How deep symbols of each kind lie in their containers."""
+    edges, nodes = _both(spark, folder)
+    tree = hierarchy(edges.filter("kind = 'contains'").select(F.col("source").alias("parent"), F.col("target").alias("child")))
+    return tree.filter("NOT looped").join(nodes, F.col("node_id") == F.col("id")).groupBy("kind", "depth").agg(F.count("*").alias("symbols"))
