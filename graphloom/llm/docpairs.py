@@ -21,6 +21,8 @@ from graphloom.operators.model import newest, trimmed_lower
 
 #: Most lines between a comment and the signature that it describes.
 COMMENT_DISTANCE = 1
+#: Longest comment whose verdict a worker keeps.
+KEPT_CHARS = 300
 
 _NAME = r"[A-Za-z_$][\w$]*"
 #: Signatures, by how the body is delimited.
@@ -217,9 +219,12 @@ def prose(docstring: str) -> list[str]:
     return [s for s in out if s.strip()]
 
 
-@lru_cache(maxsize=50_000)
 def tells(docstring: str | None, name: str | None, signature: str | None) -> bool:
-    """Whether a comment says at least one thing that the name and the signature do not."""
+    """Whether a comment says at least one thing that the name and the signature do not. Short comments repeat and are kept."""
+    return _tells_kept(docstring, name, signature) if docstring and len(docstring) <= KEPT_CHARS else _judge(docstring, name, signature)
+
+
+def _judge(docstring: str | None, name: str | None, signature: str | None) -> bool:
     if not docstring or not docstring.strip():
         return False
     known = name_words(name, signature)
@@ -244,6 +249,11 @@ def tells(docstring: str | None, name: str | None, signature: str | None) -> boo
     return False
 
 
+@lru_cache(maxsize=20_000)
+def _tells_kept(docstring: str, name: str | None, signature: str | None) -> bool:
+    return _judge(docstring, name, signature)
+
+
 @F.pandas_udf(T.BooleanType())
 def _tells(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for docs, names, signatures in batches:

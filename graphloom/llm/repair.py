@@ -118,7 +118,6 @@ _MARK = re.compile(r"<{3,}|={5,}|>{3,}|\|{5,}|\b(conflict|merge|hunk|marker)\b")
 _QUOTED = re.compile(r"'[^']*'|\"[^\"]*\"|`[^`]*`|\S*\w/[\w.]\S*|\.\./\S*")
 
 
-@lru_cache(maxsize=100_000)
 def message_skeleton(message: str, code: str = "") -> str:
     """The skeleton of the text that a diagnostic describes: STATEMENT alone if the text is not to blame."""
     text = message.lower()
@@ -137,6 +136,15 @@ def message_skeleton(message: str, code: str = "") -> str:
     return STATEMENT + FOREIGN + STATEMENT
 
 
+#: Longest diagnostic whose skeleton a worker keeps.
+KEPT_CHARS = 300
+
+
+@lru_cache(maxsize=20_000)
+def _short_skeleton(message: str, code: str) -> str:
+    return message_skeleton(message, code)
+
+
 def text_skeleton(text: str) -> str:
     """The skeleton of a source text: brackets outside literals, literals left open, conflict markers; the rest is statements."""
     out, pairs, stack = [STATEMENT], {"(": ")", "[": "]", "{": "}"}, []
@@ -178,7 +186,7 @@ def _judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         for own, named in zip(messages, codes):
             best, kind = 0, ""
             for message, code in zip(own if own is not None else (), named if named is not None else ()):
-                tokens = message_skeleton(message or "", code or "")
+                tokens = (_short_skeleton if len(message or "") <= KEPT_CHARS else message_skeleton)(message or "", code or "")
                 cost, edits = repair(tokens)
                 best += cost
                 kind = kind or kind_of(edits, len(tokens))
