@@ -90,23 +90,25 @@ def _symbols(nodes: DataFrame) -> DataFrame:
 
 def by_file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names with a slash against file symbols of that base name: equal path 0.95, path end 0.85, the only one 0.7."""
-    asked = refs.filter(F.col("reference_name").contains("/")).withColumn("__base", F.substring_index("reference_name", "/", -1)).filter("__base <> ''")
+    every = refs.filter(F.col("reference_name").contains("/")).select("ref_id", "reference_name")
+    asked = every.select("reference_name").distinct().withColumn("__base", F.substring_index("reference_name", "/", -1)).filter("__base <> ''")
     rows = asked.join(_symbols(nodes).filter("n_kind = 'file'"), F.col("__base") == F.col("n_name"))
     name = F.col("reference_name")
-    rank = F.when((F.col("n_qualified") == name) | (F.col("n_path") == name), 1).when(F.col("n_qualified").endswith(name) | F.col("n_path").endswith(name), 2).when(F.count("*").over(W.partitionBy("ref_id")) == 1, 3)
-    rows = rows.withColumn("__rank", rank).filter("__rank IS NOT NULL")
-    return _result(rows, [F.col("__rank"), F.col("id")], F.when(F.col("__rank") == 1, 0.95).when(F.col("__rank") == 2, 0.85).otherwise(0.7), F.lit("file-path"))
+    rank = F.when((F.col("n_qualified") == name) | (F.col("n_path") == name), 1).when(F.col("n_qualified").endswith(name) | F.col("n_path").endswith(name), 2).otherwise(3)
+    best = rows.groupBy("reference_name").agg(F.min(F.struct(rank.alias("rank"), "id")).alias("b"), F.count("*").alias("n")).filter("b.rank < 3 OR n = 1")
+    confidence = F.when(F.col("b.rank") == 1, 0.95).when(F.col("b.rank") == 2, 0.85).otherwise(0.7)
+    return every.join(best, "reference_name").select("ref_id", F.col("b.id").alias("target_id"), confidence.alias("confidence"), F.lit("file-path").alias("resolved_by"))
 
 
 def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names with a dot or ::. One symbol of that qualified name 0.95; else one of its last part whose qualified name ends with it 0.85."""
     asked = refs.filter(F.col("reference_name").rlike(r"::|\."))
-    symbols = _symbols(nodes)
-    whole = asked.join(symbols, F.col("reference_name") == F.col("n_qualified")).withColumn("__n", F.count("*").over(W.partitionBy("ref_id"))).filter("__n = 1")
-    whole = _result(whole, [F.col("id")], F.lit(0.95), F.lit("qualified-name"))
-    last = asked.join(whole, "ref_id", "left_anti").withColumn("__last", F.regexp_extract("reference_name", r"([^:.]*)$", 1)).filter("__last <> ''")
-    ends = last.join(symbols, F.col("__last") == F.col("n_name")).filter(F.col("n_qualified").endswith(F.col("reference_name")))
-    return whole.unionAll(_result(ends, [F.col("id")], F.lit(0.85), F.lit("qualified-name")))
+    names = asked.select("reference_name").distinct()
+    whole = nodes.groupBy(F.col("qualified_name").alias("reference_name")).agg(F.min("id").alias("target_id"), F.count("*").alias("n")).filter("n = 1").join(names, "reference_name", "left_semi").select("reference_name", "target_id", F.lit(0.95).alias("confidence"))
+    last = names.join(whole, "reference_name", "left_anti").withColumn("__last", F.regexp_extract("reference_name", r"([^:.]*)$", 1)).filter("__last <> ''")
+    ends = last.join(_symbols(nodes), F.col("__last") == F.col("n_name")).filter(F.col("n_qualified").endswith(F.col("reference_name")))
+    found = whole.unionAll(ends.groupBy("reference_name").agg(F.min("id").alias("target_id")).withColumn("confidence", F.lit(0.85)))
+    return asked.join(found, "reference_name").select("ref_id", "target_id", "confidence", F.lit("qualified-name").alias("resolved_by"))
 
 
 def by_method_call(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,9 +116,11 @@ def by_method_call(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     The only method, in the reference's language, 0.7; of several the one whose qualified name shares most words with the
     receiver, a point more for the same language and two at least, 0.65. Methods of the same language come before others.
+    Everything depends on name and language alone, so each such pair is resolved once.
     """
     pattern = r"^(\w+)(?:\.|::)(\w+)$"
-    asked = refs.filter(F.col("reference_name").rlike(pattern)).withColumn("__object", F.regexp_extract("reference_name", pattern, 1)).withColumn("__method", F.regexp_extract("reference_name", pattern, 2))
+    every = refs.filter(F.col("reference_name").rlike(pattern)).select(F.col("ref_id").alias("__ref"), "reference_name", "language")
+    asked = every.select("reference_name", "language").distinct().withColumn("ref_id", F.struct("reference_name", "language")).withColumn("__object", F.regexp_extract("reference_name", pattern, 1)).withColumn("__method", F.regexp_extract("reference_name", pattern, 2))
     symbols = _symbols(nodes)
     classes = symbols.filter(F.col("n_kind").isin(CLASS_LIKE)).select(F.col("id").alias("c_id"), F.col("n_name").alias("c_name"), F.col("n_path").alias("c_path"), F.col("n_language").alias("c_language"))
     methods = symbols.filter("n_kind = 'method'")
@@ -139,35 +143,73 @@ def by_method_call(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = rows.withColumn("__score", shared + F.col("__same").cast("int"))
     rows = rows.filter("(__n = 1 AND __same) OR (__n > 1 AND __score >= 2)")
     named = _result(rows, [F.desc("__score"), F.col("id")], F.when(F.col("__n") == 1, 0.7).otherwise(0.65), F.lit("instance-method"))
-    return direct.unionAll(capital).unionAll(named)
+    found = direct.unionAll(capital).unionAll(named)
+    same = (every["reference_name"] == F.col("ref_id.reference_name")) & every["language"].eqNullSafe(F.col("ref_id.language"))
+    return every.join(found, same).select(F.col("__ref").alias("ref_id"), "target_id", "confidence", "resolved_by")
+
+
+#: Leading directories that count for nearness: more give no more points.
+NEAR_LEVELS = 6
 
 
-def match_score() -> Column:
-    """Points of a symbol for a reference: file, directories, language, kind, export and distance of lines."""
-    same_file = F.coalesce(F.col("n_path") == F.col("file_path"), F.lit(False))
-    kind, wanted = F.col("n_kind"), F.col("reference_kind")
-    fit = F.when((wanted == "calls") & kind.isin(CALLABLE), 25).when((wanted == "instantiates") & kind.isin(CLASS_LIKE), 25).when((wanted == "decorates") & kind.isin(CALLABLE), 25).when((wanted == "decorates") & kind.isin("class", "interface"), 15).otherwise(0)
-    near = F.when(same_file & F.coalesce(F.col("n_line") != 0, F.lit(False)), F.greatest(F.lit(0.0), 20 - F.abs(F.col("n_line") - F.coalesce("line", F.lit(0))) / 10)).otherwise(0.0)
-    language = F.when(F.col("n_language").eqNullSafe(F.col("language")), 50).otherwise(-80)
-    return F.when(same_file, 100).otherwise(0) + F.coalesce(fx.path_proximity(F.col("file_path"), F.col("n_path")), F.lit(0)) + language + fit + F.when(F.coalesce("n_exported", F.lit(False)), 10).otherwise(0) + near
+def _prefix(path: Column, level: Column) -> Column:
+    """The first directories of a path, null where it has not so many."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > level, F.array_join(F.slice(parts, 1, level), "/"))
+
+
+def _fit(wanted: Column, kind: Column) -> Column:
+    return F.when((wanted == "calls") & kind.isin(CALLABLE), 25).when((wanted == "instantiates") & kind.isin(CLASS_LIKE), 25).when((wanted == "decorates") & kind.isin(CALLABLE), 25).when((wanted == "decorates") & kind.isin("class", "interface"), 15).otherwise(0)
 
 
 def by_exact_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Symbols of the same name: the only one 0.9, or 0.5 in another language; of several the best by points, 0.7 within two shared directories, else 0.4."""
-    rows = refs.join(_symbols(nodes), F.col("reference_name") == F.col("n_name")).withColumn("__n", F.count("*").over(W.partitionBy("ref_id"))).withColumn("__score", match_score())
-    rows = rows.filter("__n = 1 OR __score > -1")
-    near = F.coalesce(fx.path_proximity(F.col("file_path"), F.col("n_path")), F.lit(0)) >= 30
-    confidence = F.when(F.col("__n") == 1, F.when(F.col("n_language").eqNullSafe(F.col("language")), 0.9).otherwise(0.5)).otherwise(F.when(near, 0.7).otherwise(0.4))
-    return _result(rows, [F.desc("__score"), F.col("id")], confidence, F.lit("exact-match"))
+    """Symbols of the same name: the only one 0.9, or 0.5 in another language; of several the best by points, 0.7 within two shared directories, else 0.4.
+
+    Points are 15 a shared leading directory (80 at most), 50 for the language or else -80, 25 or 15 for a fitting kind, 10
+    for an export, and 100 for the file with up to 20 more the nearer the line; the best must have more than -1.
+
+    References never meet all symbols of their name: symbols are first reduced to one for each name, leading directories,
+    language, kind and export, and a reference meets the few of its own directories at each level. Only symbols of the
+    reference's own file are compared one by one.
+    """
+    symbols = _symbols(nodes).filter("n_name IS NOT NULL").withColumn("n_exported", F.coalesce("n_exported", F.lit(False)))
+    counts = symbols.groupBy(F.col("n_name").alias("reference_name")).agg(F.count("*").alias("n"), F.min("id").alias("only_id"), F.min("n_language").alias("only_language"))
+    asked = refs.join(counts, "reference_name")
+    language = F.col("language")
+    single = asked.filter("n = 1").select("ref_id", F.col("only_id").alias("target_id"), F.when(F.col("only_language").eqNullSafe(language), 0.9).otherwise(0.5).alias("confidence"))
+
+    several = asked.filter("n > 1")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(NEAR_LEVELS)))
+    group = ["n_name", "level", "prefix", "n_language", "n_kind", "n_exported"]
+    near = symbols.withColumn("level", levels).withColumn("prefix", F.when(F.col("level") == 0, "").otherwise(_prefix(F.col("n_path"), F.col("level")))).filter("prefix IS NOT NULL").groupBy(*group).agg(F.min("id").alias("id"))
+    spread = several.withColumn("own_level", levels).withColumn("own_prefix", F.when(F.col("own_level") == 0, "").otherwise(_prefix(F.col("file_path"), F.col("own_level")))).filter("own_prefix IS NOT NULL")
+    kin = spread.join(near, (F.col("reference_name") == F.col("n_name")) & (F.col("own_level") == F.col("level")) & (F.col("own_prefix") == F.col("prefix")))
+    base = F.when(F.col("n_language").eqNullSafe(language), 50).otherwise(-80) + _fit(F.col("reference_kind"), F.col("n_kind")) + F.when(F.col("n_exported"), 10).otherwise(0)
+    shared = F.least(F.col("level") * 15, F.lit(80))
+    away = kin.select("ref_id", "id", (base + shared).cast("double").alias("score"), shared.alias("shared"))
+
+    inside = several.join(symbols, (F.col("reference_name") == F.col("n_name")) & (F.col("file_path") == F.col("n_path")))
+    line = F.when(F.coalesce(F.col("n_line") != 0, F.lit(False)), F.greatest(F.lit(0.0), 20 - F.abs(F.col("n_line") - F.coalesce("line", F.lit(0))) / 10)).otherwise(0.0)
+    here_shared = fx.path_proximity(F.col("file_path"), F.col("n_path"))
+    here = inside.select("ref_id", "id", (base + here_shared + 100 + line).cast("double").alias("score"), here_shared.alias("shared"))
+
+    best = away.unionAll(here).filter("score > -1").groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "id", "shared")).alias("b"))
+    many = best.select("ref_id", F.col("b.id").alias("target_id"), F.when(F.col("b.shared") >= 30, 0.7).otherwise(0.4).alias("confidence"))
+    return single.unionAll(many).select("ref_id", "target_id", "confidence", F.lit("exact-match").alias("resolved_by"))
 
 
 def by_near_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The only function, method or class of the name without case, in the language 0.5, or else in any other 0.3."""
-    rows = refs.join(_symbols(nodes).filter(F.col("n_kind").isin("function", "method", "class")), F.lower("reference_name") == F.lower("n_name"))
-    each = W.partitionBy("ref_id")
-    rows = rows.withColumn("__same", F.col("n_language").eqNullSafe(F.col("language"))).withColumn("__any", F.max("__same").over(each)).filter("__same OR NOT __any")
-    rows = rows.withColumn("__n", F.count("*").over(each)).filter("__n = 1")
-    return _result(rows, [F.col("id")], F.when(F.col("__same"), 0.5).otherwise(0.3), F.lit("fuzzy"))
+    """The only function, method or class of the name without case, in the language 0.5, or else in any other 0.3.
+
+    Symbols are counted by name and language first, so a reference meets two counts and no symbols.
+    """
+    symbols = nodes.filter(F.col("kind").isin("function", "method", "class")).select("id", F.lower("name").alias("low"), F.col("language").alias("n_language"))
+    by_language = symbols.groupBy("low", "n_language").agg(F.count("*").alias("same"), F.min("id").alias("same_id"))
+    by_name = by_language.groupBy(F.col("low").alias("any_low")).agg(F.sum("same").alias("n"), F.min("same_id").alias("any_id"))
+    rows = refs.select("ref_id", F.lower("reference_name").alias("asked"), "language").join(by_name, F.col("asked") == F.col("any_low"))
+    rows = rows.join(by_language, (F.col("asked") == F.col("low")) & F.col("language").eqNullSafe(F.col("n_language")), "left")
+    found = rows.filter("same = 1 OR (same IS NULL AND n = 1)")
+    return found.select("ref_id", F.coalesce("same_id", "any_id").alias("target_id"), F.when(F.col("same").isNotNull(), 0.5).otherwise(0.3).alias("confidence"), F.lit("fuzzy").alias("resolved_by"))
 
 
 STRATEGIES = [by_file_path, by_qualified_name, by_method_call, by_exact_name, by_near_name]
