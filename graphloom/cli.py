@@ -7,12 +7,13 @@ import json
 import sys
 
 from graphloom.api import CodeGraph
+from graphloom.server import serve
 from graphloom.session import local_session
 
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="graphloom")
-    parser.add_argument("command", choices=["index", "sync", "status", "query", "files", "context", "callers", "callees", "impact", "affected"])
+    parser.add_argument("command", choices=["index", "sync", "status", "query", "files", "context", "callers", "callees", "impact", "affected", "explore", "serve"])
     parser.add_argument("words", nargs="*", help="a project folder, a query, a symbol or changed paths; affected also reads paths from standard input")
     parser.add_argument("--store", default=".graphloom")
     parser.add_argument("--limit", type=int, default=20)
@@ -25,6 +26,12 @@ def main(args: list[str] | None = None) -> int:
     if asked.command in ("index", "sync"):
         print(json.dumps(getattr(own, asked.command)(text or ".")))
         return 0
+    if asked.command == "serve":
+        serve(own)
+        return 0
+    if asked.command == "explore":
+        print(own.explore(text))
+        return 0
     if asked.command == "context":
         print(own.context(text, asked.limit, "json" if asked.json else "markdown"))
         return 0

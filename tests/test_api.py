@@ -50,6 +50,20 @@ def test_project(spark, project, tmp_path):
     assert "## src/utils.ts" in explored and "calls formatValue" in explored
     assert graph.listing().splitlines()[:2] == ["src/", "  base.ts"] and "typescript: 5 files" in graph.listing(form="grouped")
 
+    import io
+    import json
+
+    from graphloom.server import serve
+
+    call = lambda k, tool, **a: json.dumps({"jsonrpc": "2.0", "id": k, "method": "tools/call", "params": {"name": tool, "arguments": a}})
+    asked = [json.dumps({"jsonrpc": "2.0", "id": 0, "method": "initialize"}), json.dumps({"method": "notifications/initialized"}), "{", call(1, "callers", symbol="formatValue"), call(2, "search", query="formatValue", limit="x"), call(3, "nosuch"), call(4, "impact", symbol="formatValue"), json.dumps({"id": 5, "method": "tools/list"})]
+    out = io.StringIO()
+    serve(graph, io.StringIO("\n".join(asked)), out)
+    told = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [t["id"] for t in told] == [0, None, 1, 2, 3, 4, 5]
+    assert "processValue" in told[2]["result"]["content"][0]["text"] and told[3]["result"]["isError"] and told[4]["error"]["code"] == -32602
+    assert "processValue" in told[5]["result"]["content"][0]["text"] and len(told[6]["result"]["tools"]) == 9
+
     (project / "src/utils.ts").write_text(PROJECT["src/utils.ts"].replace("processValue", "handleValue"))
     (project / "src/extra.ts").write_text("import { formatValue } from './utils';\nexport function extra() { return formatValue(1); }\n")
     (project / "tests/main.test.ts").unlink()
