@@ -28,13 +28,13 @@ GENERATED_FILE = (
     r"(?:^|/)(?:(?:moc|qrc|ui)_[^/]+\.(?:cpp|cc|cxx|c|h|hpp)|lex\.[^/]+\.(?:c|cc|cpp)|[^/]+\.tab\.(?:c|h|cc|cpp|hpp)|zz_generated\.[^/]+|[^/]+_pb2(?:_grpc)?\.pyi?|[^/]+(?:Grpc|OuterClass)\.java|"
     r"[^/]+\.(?:pb|grpc)(?:\.gw)?\.[A-Za-z]+|[^/]+[._-](?i:gen|generated|autogen|auto)\.[A-Za-z]+|[^/]+\.(?:g|freezed|gr|mocks)\.[A-Za-z]+|[^/]+\.(?i:designer)\.[A-Za-z]+)$"
 )
-MINIFIED_FILE = r"(?:^|/)[^/]+(?:[._-](?i:min)|\.(?i:packed|bundle|chunk)|\.(?=[0-9a-f]*[0-9])[0-9a-f]{8,})\.(?:js|mjs|cjs|jsx|ts|css)$"
+MINIFIED_FILE = r"(?:^|/)[^/]+(?:[._-](?i:min)|\.(?i:packed|bundle|chunk)|\.[0-9a-f]{8,})\.(?:js|mjs|cjs|jsx|ts|css)$"
 #: A file counts as large above so many bytes; a usual file has a few hundred bytes a symbol.
 LARGE_BYTES = 50_000
 DOUBT_RATIO, SURE_RATIO = 2_000.0, 8_000.0
 
 #: P(label of the content | label of the directory); a named directory fixes nearly all of its content.
-_OPEN = [[0.90, 0.04, 0.03, 0.01, 0.02], [0.50, 0.46, 0.02, 0.01, 0.01], [0.50, 0.02, 0.46, 0.01, 0.01], [0.50, 0.02, 0.02, 0.45, 0.01], [0.50, 0.02, 0.02, 0.01, 0.45]]
+_OPEN = [[0.90, 0.04, 0.03, 0.01, 0.02], [0.70, 0.26, 0.02, 0.01, 0.01], [0.70, 0.02, 0.26, 0.01, 0.01], [0.70, 0.02, 0.02, 0.25, 0.01], [0.70, 0.02, 0.02, 0.01, 0.25]]
 _NAMED = [[0.90, 0.04, 0.03, 0.01, 0.02], [1e-6, 0.98, 0.01, 0.005, 0.005], [1e-6, 0.01, 0.98, 0.005, 0.005], [1e-6, 0.005, 0.005, 0.98, 0.01], [1e-6, 0.005, 0.005, 0.01, 0.98]]
 _FIXED = 60.0  # log odds of a name that follows a custom
 COLUMNS, TOLD, EVIDENCE = ([f"{c}{k}" for k in range(5)] for c in "mte")

@@ -100,7 +100,7 @@ def test_functions_of_source(spark):
 
 def test_origins(spark):
     generated = ["r/a/x.pb.go", "r/a/x_pb2.py", "r/a/moc_x.cpp", "r/a/lex.yy.c", "r/a/y.tab.c", "r/a/zz_generated.deepcopy.go", "r/a/XGrpc.java", "r/a/X.Designer.cs", "r/a/x.g.dart", "r/generated/deep/in/x.ts", "r/a/build/generated/source/x.kt", "r/x/obj/Debug/y.cs", "r/dist/x.py", "r/a/x_generated.go"]
-    minified = ["r/a/x.min.js", "r/a/x-min.js", "r/a/x.packed.js", "r/a/x.bundle.js", "r/a/x.1d4d1887.js", "r/a/x.a78c0bea.chunk.js"]
+    minified = ["r/a/x.min.js", "r/a/x-min.js", "r/a/x.packed.js", "r/a/x.bundle.js", "r/a/x.1d4d1887.js", "r/a/x.a78c0bea.chunk.js", "r/a/x.ccdefafd.js"]
     vendored = ["r/node_modules/q/src/x.js", "r/third_party/x.c", "r/ThirdParty/a/b/x.c", "r/Pods/x.swift", "r/lib/site-packages/x.py", "r/Godeps/_workspace/src/x.go", "vendor/x.go"]
     hand = ["r/generators/x.py", "r/vendor_portal/x.ts", "r/modules_node/x.js", "r/objects/x.c", "r/distribution/x.c", "r/a/minify_step.js", "r/a/minimap.js", "r/a/codegen_options.py", "r/a/pb_client.py", "r/a/vendor.go", "r/a/chunk_reader.js", "x.py", "r/build/x.py", "r/pods/x.go", "r/a/designer_view.cs"]
     rows = [(p, "h", "x", 2000, 1, 1, 5, None) for p in generated + minified + vendored + hand]
