@@ -8,9 +8,10 @@ depth. Inputs are the clean views of operators.model; ends that no node has drop
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.operators.hierarchy import loops
@@ -28,7 +29,6 @@ class Traversal:
     direction: str = "outgoing"
     limit: int | None = None
     include_start: bool = True
-    more: dict = field(default_factory=dict)
 
 
 def of_kinds(edges: DataFrame, kinds: Sequence[str] | None) -> DataFrame:
@@ -74,8 +74,6 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 1 << 30, kinds: Sequ
         if limit is not None and seen.groupBy("origin").count().filter(F.col("count") < limit).isEmpty():
             break
     if limit is not None:
-        from pyspark.sql import Window as W
-
         order = W.partitionBy("origin").orderBy("depth", "node_id")
         seen = seen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).drop("r")
     return seen
@@ -86,6 +84,13 @@ def start(nodes: DataFrame, *ids: str) -> DataFrame:
     return nodes.filter(F.col("id").isin(list(ids))).select(F.col("id").alias("origin"), F.col("id").alias("node_id"))
 
 
+def traverse(edges: DataFrame, nodes: DataFrame, node_id: str, options: Traversal = Traversal()) -> DataFrame:
+    """Breadth first from one node: (node_id, depth). Nodes of other kinds than asked for are neither shown nor passed."""
+    through = nodes.filter(F.col("kind").isin(list(options.node_kinds))) if options.node_kinds else nodes
+    found = reach(edges, start(nodes, node_id), options.depth, options.edge_kinds, options.direction, through, options.limit).select("node_id", "depth")
+    return found if options.include_start else found.filter("depth > 0")
+
+
 def hops(edges: DataFrame, nodes: DataFrame, node_id: str, depth: int, incoming: bool, kinds: Sequence[str] = tuple(CALL_KINDS)) -> DataFrame:
     """Nodes within depth hops over call-like links, without the node itself: (node_id, depth)."""
     found = reach(edges, start(nodes, node_id), depth, kinds, "incoming" if incoming else "outgoing", through=nodes)

@@ -6,6 +6,8 @@ and a few counts leaves the executors. Ties are broken by id.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -71,8 +73,6 @@ def full_text(nodes: DataFrame, text: str, kinds: Sequence[str] | None = None, l
     seen = words.agg(F.count("*").alias("n"), F.avg("__length").alias("mean"), *[F.count(F.when(F.col(f"__hit{i}") > 0, 1)).alias(f"n{i}") for i in range(len(phrases))]).first()
     total = F.lit(0.0)
     for i in range(len(phrases)):
-        import math
-
         idf = math.log((seen["n"] - seen[f"n{i}"] + 0.5) / (seen[f"n{i}"] + 0.5)) if seen["n"] else 0.0
         f = F.col(f"__f{i}")
         total = total + F.lit(idf if idf > 0 else LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__length") / F.lit(seen["mean"] or 1.0)))
@@ -168,8 +168,6 @@ def substring_names(nodes: DataFrame, part: str, exclude_prefix: bool = False, k
 
 def symbol_matches(nodes: DataFrame, symbol: str) -> DataFrame:
     """Symbols that a possibly qualified name means: equal name, file stem, or tail with its qualifiers around."""
-    import re
-
     parts = [p for p in re.split(r"::|[./]", symbol) if p]
     if not parts:
         return nodes.limit(0)

@@ -75,14 +75,14 @@ def call_graph(spark: SparkSession, folder: str) -> DataFrame:
 @query(sql("SELECT node AS node_id, min(depth)::int AS depth FROM walk GROUP BY 1", N, E, recursive=_walk("SELECT source AS a, target AS b FROM e", 3, BOX)))
 def bfs_levels(spark: SparkSession, folder: str) -> DataFrame:
     edges, nodes = _both(spark, folder)
-    return graph.reach(edges, graph.start(nodes, BOX), 3, through=nodes).select("node_id", "depth")
+    return graph.traverse(edges, nodes, BOX, graph.Traversal(depth=3))
 
 
 @query(sql("SELECT node AS node_id, min(depth)::int AS depth FROM walk GROUP BY 1 ORDER BY 2, 1 LIMIT 40", N, E, recursive=_walk("SELECT source AS a, target AS b FROM e UNION ALL SELECT target, source FROM e", 2, BOX)))
 def bfs_both_limited(spark: SparkSession, folder: str) -> DataFrame:
     """The first 40 nodes around a module in both directions, by depth and id; the limit is a traversal's own."""
     edges, nodes = _both(spark, folder)
-    return graph.reach(edges, graph.start(nodes, BOX), 2, direction="both", through=nodes, limit=40).select("node_id", "depth")
+    return graph.traverse(edges, nodes, BOX, graph.Traversal(depth=2, direction="both", limit=40))
 
 
 @query(

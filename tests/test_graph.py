@@ -37,6 +37,9 @@ def test_two_directions(spark):
     e = edges(spark, [("a", "b", "calls"), ("b", "c", "calls")])
     assert ids(graph.reach(e, graph.start(n, "b"), direction="both", through=n)) == ["a", "b", "c"]
     assert ids(graph.reach(e, graph.start(n, "b"), direction="both", through=n, limit=2)) == ["a", "b"]
+    kinds = nodes(spark, [("a", "function", "a.ts", True), ("b", "class", "b.ts", True), ("c", "function", "c.ts", True)])
+    assert ids(graph.traverse(e, kinds, "a")) == ["a", "b", "c"] and ids(graph.traverse(e, kinds, "a", graph.Traversal(node_kinds=["function"]))) == ["a"]
+    assert ids(graph.traverse(e, kinds, "a", graph.Traversal(depth=1, include_start=False))) == ["b"]
     assert [tuple(r) for r in graph.find_path(e, n, "a", "c").orderBy("step").collect()] == [(0, "a"), (1, "b"), (2, "c")]
     assert graph.find_path(e, n, "c", "a").count() == 0 and graph.find_path(e, n, "x", "a").count() == 0
 
