@@ -59,6 +59,22 @@ def loops(links: DataFrame) -> DataFrame:
     """
     links = links.select("parent", "child")
     core = cut_lineage(links.join(_endless_parents(links), F.xxhash64("parent") == F.col("v"), "left_semi").distinct())
+    members, graph = _shrunk(core)
+
+    # Without loops inside, chains end: doubling gives each node the loops above it.
+    above = members.select(F.col("loop").alias("v"), "loop").distinct()
+    steps = graph.select(F.col("child").alias("v"), F.col("parent").alias("u")).distinct()
+    while not steps.isEmpty():
+        reached = steps.join(above.select(F.col("v").alias("u"), "loop"), "u").select("v", "loop")
+        above = cut_lineage(above.unionAll(reached).distinct())
+        steps = cut_lineage(steps.join(steps.select(F.col("v").alias("u"), F.col("u").alias("w")), "u").select("v", F.col("w").alias("u")).distinct())
+    own = members.select("node", F.col("loop").alias("own"))
+    named = above.join(own, F.col("v") == F.col("own"), "left").select(F.coalesce("node", "v").alias("node_id"), F.col("loop").alias("cycle_id"))
+    return named.distinct()
+
+
+def _shrunk(core: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of links (parent, child): the nodes on loops as (node, loop: its smallest node), and the links with each loop shrunk to that node."""
     members = core.filter("parent = child").select(F.col("child").alias("node"), F.col("child").alias("loop"))
     graph = core.filter("parent <> child")
     while True:
@@ -74,17 +90,7 @@ def loops(links: DataFrame) -> DataFrame:
         for end in ("parent", "child"):
             graph = graph.join(rename, F.col(end) == F.col("old"), "left").withColumn(end, F.coalesce("new", end)).drop("old", "new")
         graph = cut_lineage(graph.filter("parent <> child").distinct())
-
-    # Without loops inside, chains end: doubling gives each node the loops above it.
-    above = members.select(F.col("loop").alias("v"), "loop").distinct()
-    steps = graph.select(F.col("child").alias("v"), F.col("parent").alias("u")).distinct()
-    while not steps.isEmpty():
-        reached = steps.join(above.select(F.col("v").alias("u"), "loop"), "u").select("v", "loop")
-        above = cut_lineage(above.unionAll(reached).distinct())
-        steps = cut_lineage(steps.join(steps.select(F.col("v").alias("u"), F.col("u").alias("w")), "u").select("v", F.col("w").alias("u")).distinct())
-    own = members.select("node", F.col("loop").alias("own"))
-    named = above.join(own, F.col("v") == F.col("own"), "left").select(F.coalesce("node", "v").alias("node_id"), F.col("loop").alias("cycle_id"))
-    return named.distinct()
+    return members, graph
 
 
 def _circles(choice: DataFrame) -> DataFrame:
@@ -145,15 +151,18 @@ def hierarchy(links: DataFrame, order_col: str | None = None) -> DataFrame:
 
 
 def descendants(links: DataFrame) -> DataFrame:
-    """All descendants of every node that is neither on a loop nor below one: (node_id, descendant_id, distance int).
+    """All descendants of every node that is not itself on a loop: (node_id, descendant_id, distance int).
 
-    All parents count and distance is the shortest. Repeated rows change nothing, null ends do not count, an empty table
-    gives no rows. Round k joins the pairs of distance 2**k with all shorter ones, among nodes with children; the others
-    follow in one last join, and only those with several parents are reduced again.
+    Nodes above loops have the nodes on and below them as descendants, nodes below loops what is below them; nodes on a
+    loop, which contain themselves, are reported by loops() and have no rows of their own. All parents count and distance
+    is the shortest. Repeated rows change nothing, null ends do not count, an empty table gives no rows. Round k joins the
+    pairs of distance 2**k with all shorter ones, among nodes with children; the others follow in one last join, and only
+    those with several parents are reduced again. Descendants on or below loops are found apart, see _past_loops().
     """
     links = cut_lineage(links.filter("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct())
     endless = cut_lineage(_endless_parents(links))
-    below = links.join(endless, F.xxhash64("parent") == F.col("v"), "left_semi").select("child").distinct()
+    below = cut_lineage(links.join(endless, F.xxhash64("parent") == F.col("v"), "left_semi").select("child").distinct())
+    looped = links.join(below, "child", "left_semi")
     links = links.join(below, "child", "left_anti")
     inner = links.select(F.col("parent").alias("child")).distinct()
     steps = cut_lineage(links.join(inner, "child", "left_semi").select(F.col("child").alias("v"), F.col("parent").alias("u")))
@@ -173,4 +182,36 @@ def descendants(links: DataFrame) -> DataFrame:
 
     single = climb(leaves.join(several, "child", "left_anti"))
     shared = climb(leaves.join(several, "child", "left_semi")).groupBy("v", "u").agg(F.min("distance").alias("distance"))
-    return near.unionAll(single).unionAll(shared).select(F.col("u").alias("node_id"), F.col("v").alias("descendant_id"), "distance")
+    pairs = near.unionAll(single).unionAll(shared)
+    if not below.isEmpty():
+        entries = cut_lineage(looped.join(below.withColumnRenamed("child", "parent"), "parent", "left_anti"))
+        above = climb(links.join(entries.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"))
+        pairs = pairs.unionAll(_past_loops(cut_lineage(looped.join(below.withColumnRenamed("child", "parent"), "parent", "left_semi")), entries, above))
+    return pairs.select(F.col("u").alias("node_id"), F.col("v").alias("descendant_id"), "distance")
+
+
+def _past_loops(core: DataFrame, entries: DataFrame, above: DataFrame) -> DataFrame:
+    """Pairs (v, u, distance) of nodes v on or below loops and the nodes u above them that are on no loop.
+
+    core has the links (parent, child) among nodes on or below loops, entries those that lead there from other nodes, and
+    above the pairs (v, u, distance) over the parents of entries. Walks start only at nodes on no loop and where entries
+    lead, so no loop is paired with itself unless something is above it. Round k adds the nodes at distances from 2**k to
+    2**(k + 1) - 1; a round without new ones is the last, for a shortest walk passes through all smaller distances.
+    """
+    members, _ = _shrunk(core)
+    on = members.select("node").distinct()
+    sources = core.select(F.col("parent").alias("s")).unionAll(entries.select("child")).distinct()
+    sources = sources.join(on, F.col("s") == F.col("node"), "left_anti").unionAll(entries.select("child").distinct()).distinct()
+    near, steps, width, before = cut_lineage(sources.select("s", F.col("s").alias("v"), F.lit(0).alias("distance"))), core, 1, -1
+    while (count := near.count()) != before:
+        before = count
+        far = near.join(steps.withColumnRenamed("parent", "v"), "v").select("s", F.col("child").alias("v"), (F.col("distance") + width).alias("distance"))
+        near = cut_lineage(near.unionAll(far).groupBy("s", "v").agg(F.min("distance").alias("distance")))
+        steps = cut_lineage(steps.join(steps.select(F.col("parent").alias("child"), F.col("child").alias("w")), "child").select("parent", F.col("w").alias("child")).distinct())
+        width *= 2
+    own = near.filter("distance > 0").join(on, F.col("s") == F.col("node"), "left_anti").select("v", F.col("s").alias("u"), "distance")
+    starts = entries.select(F.col("child").alias("s"), F.col("parent").alias("u"), F.lit(1).alias("d"))
+    over = entries.join(above.select(F.col("v").alias("parent"), "u", "distance"), "parent").select(F.col("child").alias("s"), "u", (F.col("distance") + 1).alias("d"))
+    starts = starts.unionAll(over).groupBy("s", "u").agg(F.min("d").alias("d"))
+    entered = starts.join(near, "s").groupBy("v", "u").agg(F.min(F.col("distance") + F.col("d")).alias("distance"))
+    return own.unionAll(entered)

@@ -90,3 +90,41 @@ def test_nulls_kinds_and_clashing_columns(spark):
     links = parent_child(edges)
     assert sorted(map(tuple, links.collect())) == [("a", "b"), ("b", "c")]
     assert loops(links).count() == 0 and hierarchy(links).count() == 3
+
+
+def brute_descendants(links):
+    below, out = {}, {}
+    for p, c in links:
+        below.setdefault(p, set()).add(c)
+    for n in below:
+        seen, level, distance = {}, {n}, 0
+        while level:
+            distance += 1
+            level = {c for x in level for c in below.get(x, ())} - set(seen)
+            seen |= dict.fromkeys(level, distance)
+        if n not in seen:
+            out |= {(n, d): k for d, k in seen.items()}
+    return out
+
+
+def found_descendants(spark, links):
+    rows = [tuple(r) for r in descendants(spark.createDataFrame(links, LINKS)).collect()]
+    assert len(rows) == len({r[:2] for r in rows})
+    return {r[:2]: r[2] for r in rows}
+
+
+@pytest.mark.parametrize("links", [*CASES.values(), [("r", "x"), ("a", "b"), ("b", "a"), ("b", "x"), ("x", "y")]])
+def test_descendants_above_and_below_loops(spark, links):
+    assert found_descendants(spark, links * 2) == brute_descendants(links)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_descendants_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    links = [(f"n{r.randrange(40):02}", f"n{r.randrange(40):02}") for _ in range(r.choice([30, 45, 60]))]
+    assert found_descendants(spark, links) == brute_descendants(links)
+
+
+def test_descendants_past_a_long_loop(spark):
+    links = [("r", "q"), ("q", "l000"), ("l007", "x"), ("x", "y"), *((f"l{k:03}", f"l{(k + 1) % 50:03}") for k in range(50))]
+    assert found_descendants(spark, links) == brute_descendants(links)
