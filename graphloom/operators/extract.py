@@ -552,6 +552,112 @@ def explode_rows(extracted: DataFrame, column: str) -> DataFrame:
     return extracted.select(F.explode(column).alias("r")).select("r.*")
 
 
+# Texts of several languages
+
+#: The first lines of declarations that tell a language, in the order in which they are tried.
+_HEADERS = [(name, re.compile(pattern)) for name, pattern in (
+    ("python", r"(?:async\s+)?def\s+\w+\s*(?:\[[^\]]*\]\s*)?\((?:.*:\s*(?:#.*|\.\.\.|pass|return\b.*)?$|[^)]*$)|class\s+\w+\s*(?:\([^{}]*\))?\s*:\s*(?:#.*|\.\.\.|pass)?$|from\s+[\w.]+\s+import\b|import\s+[\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*\s*(?:#.*)?$|if\s+__name__\b"),
+    ("ruby", r"def\s+[\w.]+[?!=]?\s*(?:\(.*\)\s*)?(?:#.*)?$|(?:class|module)\s+[A-Z][\w:]*(?:\s*<\s*[\w:]+)?\s*(?:#.*)?$|require(?:_relative)?\s+['\"]"),
+    ("swift", r"(?:\w+\s+)*func\s+\w+\s*(?:<[^<>]*>\s*)?\((?:[^()]*\w\s*:|.*->)"),
+    ("go", r"func\s*[(\w]|package\s+\w+\s*$|type\s+\w+\s+(?:struct|interface)\b|import\s*(?:\(|\")|(?:var|const)\s*\("),
+    ("rust", r"(?:pub(?:\([\w:]+\))?\s+)?(?:(?:async|unsafe|const|extern(?:\s+\"\w+\")?)\s+)*fn\s+\w|pub\s+(?:struct|enum|trait|mod|use|type|const|static)\b|impl\b|mod\s+\w+\s*[{;]|use\s+\w+(?:::|\s*;)"),
+    ("kotlin", r"(?:\w+\s+)*fun\s+(?:<[^<>]*>\s*)?[\w.]+\s*\(|(?:data|sealed)\s+class\b"),
+    ("java", r"package\s+[\w.]+\s*;|import\s+(?:static\s+)?[\w.]+(?:\.\*)?\s*;|(?:public|protected|private|final)\s+(?:(?:static|final|abstract)\s+)*(?:class|interface|enum|record)\b"),
+    ("csharp", r"using\s+(?:static\s+)?[\w.]+\s*;|namespace\s+[\w.]+\s*[;{]?\s*$"),
+    ("php", r"<\?php|use\s+\w+\\"),
+    ("cpp", r"#\s*(?:include|define|ifn?def|pragma)\b|template\s*<|using\s+namespace\b"),
+    ("typescript", r"export\b|(?:async\s+)?function\b|(?:const|let|var)\s+[\w${\[]|import\b.*['\"]|declare\b|type\s+\w+.*="),
+    ("", r"(?:abstract\s+)?(?:class|interface|enum|struct|trait)\s+\w+[^:]*\{"),
+)]
+_WITH_CLASSES = frozenset("java csharp kotlin swift scala dart php cpp rust".split())
+_ENDING = {name: ending for ending, name in reversed(EXTENSIONS.items())}
+
+
+def _parses(lines: list[str]) -> bool:
+    try:
+        ast.parse("\n".join(lines))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+def _python_lines(lines: list[str]) -> list[str | None]:
+    """The lines of a part that begins as Python, None for those that are not: where the whole does not parse, each
+    statement stands for itself, and one that begins as Python and breaks off keeps what parses from its start."""
+    if _parses(lines):
+        return list(lines)
+    out: list[str | None] = []
+    chunks: list[list[str]] = []
+    for text in lines:
+        open_text = chunks and ("\n".join(chunks[-1]).count('"""') % 2 or "\n".join(chunks[-1]).count("'''") % 2)
+        joined = chunks and (not text.strip() or text[0].isspace() or text[0] in ")]}" or re.match(r"(?:else|elif|except|finally)\b", text) or all(re.match(r"[@#\s]|$", x) for x in chunks[-1]) or open_text)
+        chunks[-1].append(text) if joined else chunks.append([text])
+    for chunk in chunks:
+        if _parses(chunk):
+            out += chunk
+            continue
+        kept: list[str] = []
+        if any(_HEADERS[0][1].match(x) for x in chunk):
+            for k in range(len(chunk), 0, -1):
+                short = [*chunk[: k - 1], chunk[k - 1] + " pass"] if chunk[k - 1].rstrip().endswith(":") else chunk[:k]
+                if _parses(short):
+                    kept = short
+                    break
+        out += kept + [None] * (len(chunk) - len(kept))
+    return out
+
+
+def language_sections(source: str) -> list[tuple[str, str]]:
+    """(language, text) of the languages of a text: its lines, with those of the other languages left empty.
+
+    A line at the left margin that begins a declaration sets the language until the next; comments and annotations before
+    it go with it. What tells no language goes with what is before, or else is TypeScript. Every line belongs to one.
+    """
+    lines = re.split(r"\r\n?|\n", source)
+    owner, current, waiting, comment, quote = [], "typescript", 0, False, ""
+    for text in lines:
+        found = None
+        if not comment and not quote and text and not text[0].isspace():
+            found = next((name for name, pattern in _HEADERS if pattern.match(text)), None)
+            if found == "":
+                found = current if current in _WITH_CLASSES - {"rust"} or (current == "rust" and not text.startswith(("class", "interface", "abstract"))) else "typescript"
+        if found:
+            owner[len(owner) - waiting :] = [found] * waiting
+            current, waiting = found, 0
+        elif comment or (not quote and re.match(r"//|/\*|#|@", text)) or (waiting and not text.strip()):
+            waiting += 1
+        else:
+            waiting = 0
+        if found or not waiting:
+            if current == "python":
+                for mark in re.findall(r'"""|\'\'\'', text):
+                    quote = mark if not quote else "" if mark == quote else quote
+        comment = "*/" not in text if comment else text.startswith("/*") and "*/" not in text
+        owner.append(current)
+    kept = list(lines)
+    k = 0
+    while k < len(lines):
+        end = k
+        while end < len(lines) and owner[end] == owner[k]:
+            end += 1
+        if owner[k] == "python":
+            for at, text in enumerate(_python_lines(lines[k:end]), k):
+                owner[at], kept[at] = ("python", text) if text is not None else ("typescript", lines[at])
+        k = end
+    names = dict.fromkeys(o for o, text in zip(owner, kept) if text.strip()) or {"typescript": None}
+    return [(name, "\n".join(text if o == name else "" for o, text in zip(owner, kept))) for name in names]
+
+
+def split_languages(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(path, content): a row for each language of each text without an extension, whose path gets that of the language."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path + _ENDING[name], text) for path, content in zip(batch["path"], batch["content"]) for name, text in language_sections(content or "")]
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return files.select(files[path_col].alias("path"), files[content_col].cast("string").alias("content")).mapInPandas(run, "path string, content string")
+
+
 # Imports and re-exports
 
 

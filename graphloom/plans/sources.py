@@ -25,9 +25,9 @@ def query(oracle: str | None = None):
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that are source text, as files."""
+    """Documents that are source text, as a file for each language in them."""
     rows = read(spark, folder, "documents").filter("doc_kind = 'source' AND text IS NOT NULL")
-    return rows.select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.col("text").alias("content"))
+    return extract.split_languages(rows.select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")))
 
 
 @query()

@@ -98,3 +98,17 @@ def test_plug_in():
     registry = extract.default_registry()
     registry.register("marker", lambda found, source: found.node("route", "extra", 1, 1, found.nodes[0]), framework=True)
     assert "extra" in {n["name"] for n in extract.extract_source("a.ts", TS, registry=registry).nodes}
+
+
+MIXED = "class A {\n  go(): void {\n    this.b.run('x');\n  }\n}\nfunc (s *S) Run(a int) error {\n\treturn s.a.run()\n}\n// Note.\nfn f(a: &mut A) -> Option<u64> {\n    a.f()?;\n    Some(1)\n}\ndef load(cursor, limit=1):\n    \"\"\"Doc.\nclass B {\n    \"\"\"\n    for x in cursor.all():\n        yield x\n\n\nIt took 5 seconds.\n\nexport function last(a: B): C {\n  return bind(a);\n}\nclass D:\n    def m(self):\n        return self.n(\n"
+
+
+def test_documents_of_several_languages(spark, tmp_path):
+    from graphloom.plans import sources
+
+    rows = [(1, MIXED, "s", "source"), (2, None, "s", "source"), (3, "", None, "source"), (4, "def a():\r    b()\r\rx = c()\r", None, "source"), (5, PY, "s", "readme")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, doc_kind string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in sources.extract_symbols(spark, str(tmp_path)).collect()}
+    assert found == {("s/1.ts", "class", "A", 1), ("s/1.ts", "method", "go", 2), ("s/1.go", "method", "Run", 6), ("s/1.rs", "function", "f", 10), ("s/1.py", "function", "load", 14), ("s/1.ts", "function", "last", 24), ("s/1.py", "class", "D", 27), ("s/1.py", "method", "m", 28), ("none/4.py", "function", "a", 1), ("none/4.py", "variable", "x", 4)}
+    refs = {tuple(r) for r in sources.extract_references(spark, str(tmp_path)).collect()}
+    assert {("s/1.py", "cursor.all", "calls", 18), ("s/1.ts", "bind", "calls", 25), ("none/4.py", "b", "calls", 2)} <= refs and not {r for r in refs if r[1] in ("load", "m")}
