@@ -36,7 +36,8 @@ def p5_pair_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Number of edges and of distinct sources of every pair of target and kind."""
     pairs = _pairs(spark, folder)
     counts = pairs.groupBy("target", "kind").agg(F.count("*").alias("edges"))
-    return counts.join(distinct_counts(pairs, ["target", "kind"], "source", "sources"), ["target", "kind"])
+    sources = distinct_counts(pairs, ["target", "kind"], "source", "sources").withColumnsRenamed({"target": "t", "kind": "k"})
+    return counts.join(sources, (F.col("target") == F.col("t")) & F.col("kind").eqNullSafe(F.col("k"))).drop("t", "k")
 
 
 def p5_line_quantiles(spark: SparkSession, folder: str) -> DataFrame:

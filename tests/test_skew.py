@@ -58,3 +58,11 @@ def test_empty(spark):
 def test_distinct_counts(spark):
     rows = [("a", 1, 1.0, 0), ("a", 1, 1.0, 0), ("a", 1, None, 0), (None, 1, 2.0, 0)]
     assert {r.k: r.distinct_values for r in skew.distinct_counts(spark.createDataFrame(rows, SCHEMA), ["k"], "x").collect()} == {"a": 1, None: 1}
+
+
+def test_pair_counts_keep_null_kinds(spark, tmp_path):
+    from graphloom.plans.training import p5_pair_counts
+
+    rows = [("a", "t", None), ("b", "t", None), ("b", "t", None), (None, "u", None), ("a", "t", " Calls"), ("a", None, None), ("a", "", "calls")]
+    spark.createDataFrame(rows, "source string, target string, kind string").write.parquet(f"{tmp_path}/edges.parquet")
+    assert {tuple(r) for r in p5_pair_counts(spark, str(tmp_path)).collect()} == {("t", None, 3, 2), ("u", None, 1, 0), ("t", "calls", 1, 1)}
