@@ -114,30 +114,73 @@ def test_origins(spark):
     assert origin.label_files(files.limit(0)).count() == 0
 
 
-def exact_marginals(leaf_evidence, named):
-    """Marginals of the files of one directory below a root, by summing over all labels."""
-    import numpy as np
-
-    table = np.array(origin._NAMED if named else origin._OPEN)
-    prior = np.array(origin._OPEN[origin.HAND])
-    out = [np.zeros(5) for _ in leaf_evidence]
-    for d in range(5):
-        for labels in itertools.product(range(5), repeat=len(leaf_evidence)):
-            p = prior[d]
-            for e, x in zip(leaf_evidence, labels):
-                p *= table[d][x] * np.exp(e[x])
-            for k, x in enumerate(labels):
-                out[k][x] += p
-    return [o / o.sum() for o in out]
-
-
-def test_beliefs_are_exact(spark):
+def exact_marginals(files):
+    """p_handwritten of files (path, size, node_count) by summing over all labels of all files and directories."""
     import math
+    import re
+
+    import numpy as np
 
-    rows = [("f1.go", "h", "go", 60_000, 1, 1, 15, None), ("f2.go", "h", "go", 90_000, 1, 1, 18, None), ("f3.go", "h", "go", 10, 1, 1, 1, None)]
+    def evidence(path, size, count):
+        width = math.log(origin.SURE_RATIO / origin.DOUBT_RATIO)
+        grade = 0.0
+        if size is not None and count is not None:
+            grade = (math.log(size / max(count, 1)) - math.log(math.sqrt(origin.SURE_RATIO * origin.DOUBT_RATIO))) / width * 2 * origin.SIZE
+            grade = -origin.SIZE if size <= origin.LARGE_BYTES else max(-origin.SIZE, min(origin.SIZE, grade))
+        mark = lambda p: origin.FILE_NAME if re.search(p, path) else -origin.FILE_NAME
+        return [0.0, mark(origin.GENERATED_FILE), mark(origin.MINIFIED_FILE), 0.0, grade, 0.0]
+
+    def name(folder, label):
+        last = folder.rsplit("/", 1)[-1]
+        if label == origin.VENDORED and re.fullmatch(origin.VENDORED_DIR, last) or label == origin.OUTPUT and re.fullmatch(origin.GENERATED_DIR, last):
+            return math.exp(origin.DIR_NAME)
+        return None
+
+    parent = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    folders = {""}
+    for path, *_ in files:
+        while path:
+            path = parent(path)
+            folders.add(path)
+    folders, labels = sorted(folders), range(len(origin.LABELS))
+    weight, fit = [np.exp(evidence(*f)) for f in files], np.array(origin.POTENTIAL)
+    total, hand = 0.0, np.zeros(len(files))
+    for choice in itertools.product(labels, repeat=len(folders)):
+        own = dict(zip(folders, choice))
+        p = origin.NESTED[origin.HAND][own[""]]
+        for f in folders:
+            p *= name(f, own[f]) or (origin.NESTED[own[parent(f)]][own[f]] if f else 1.0)
+        parts = [fit[own[parent(f[0])]] * w for f, w in zip(files, weight)]
+        p *= np.prod([x.sum() for x in parts])
+        total += p
+        hand += [p * x[origin.HAND] / x.sum() for x in parts]
+    return hand / total
+
+
+BELIEFS = [
+    [("f1.go", 60_000, 15), ("f2.go", 90_000, 18), ("f3.go", 10, 1)],
+    [("r/vendor/a/x.go", 10, 1), ("r/y.go", 70_000, 14), ("r/vendor/x.pb.go", 10, 1)],
+    [("r/q/big.go", 700_000, None), *((f"r/q/b{k}.go", 90_000 + k, 1) for k in range(4))],
+    [("r/dist/d/x.min.js", 10, 1), ("r/dist/y.js", 60_000, 20), ("r/z.js", 60_000, 20)],
+]
+
+
+@pytest.mark.parametrize("files", BELIEFS)
+def test_beliefs_are_exact(spark, files):
+    rows = [(p, "h", "x", size, 1, 1, count, None) for p, size, count in files]
     got = {r.path: r.p_handwritten for r in origin.label_files(spark.createDataFrame(rows, FILE)).collect()}
-    plain = -math.log(20.0)
-    width = math.log(origin.SURE_RATIO / origin.DOUBT_RATIO)
-    grade = lambda size, count: -4.0 if size <= origin.LARGE_BYTES else (math.log(size / count) - math.log(math.sqrt(origin.SURE_RATIO * origin.DOUBT_RATIO))) / width * 16 + 4.0
-    want = exact_marginals([[0.0, plain, plain, -0.1, grade(r[3], r[6])] for r in rows], False)
-    assert [got[r[0]] for r in rows] == pytest.approx([w[0] for w in want], rel=1e-9)
+    assert [got[f[0]] for f in files] == pytest.approx(list(exact_marginals(files)), rel=1e-9)
+
+
+def test_siblings_and_parents_decide_where_a_file_tells_nothing(spark, monkeypatch):
+    monkeypatch.setattr(origin, "HOT_FILES", 10)  # the salted join as well
+    paths = [f"r/pb/m{k}.pb.go" for k in range(30)] + ["r/pb/client.go"]
+    paths += [f"r/js/m{k}.min.js" for k in range(30)] + ["r/js/plain.js"]
+    paths += [f"r/mixed/m{k}.pb.go" for k in range(3)] + ["r/mixed/client.go"]  # three marked ones make no rule
+    paths += [f"r/vendor/lib/deep/er/m{k}.c" for k in range(5)] + ["r/src/m.c"]
+    rows = [(p, "h", "x", 2000, 1, 1, 5, None) for p in paths]
+    rows += [(f"r/data/t{k}.py", "h", "x", 900_000, 1, 1, 1, None) for k in range(12)] + [("r/data/nocount.py", "h", "x", 900_000, 1, 1, None, None), ("r/data/doubt.py", "h", "x", 60_000, 1, 1, 17, None), ("r/data/small.py", "h", "x", 4_000, 1, 1, 9, None), ("r/src/doubt.py", "h", "x", 60_000, 1, 1, 17, None)]
+    got = {r.path: r.label for r in origin.label_files(spark.createDataFrame(rows, FILE)).collect()}
+    want = {"r/pb/client.go": "generated", "r/js/plain.js": "generated", "r/mixed/client.go": "handwritten", "r/vendor/lib/deep/er/m3.c": "vendored", "r/src/m.c": "handwritten"}
+    want |= {"r/data/nocount.py": "blob", "r/data/doubt.py": "blob", "r/data/small.py": "handwritten", "r/src/doubt.py": "handwritten"}
+    assert {p: got[p] for p in want} == want
