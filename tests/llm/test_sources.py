@@ -11,8 +11,11 @@ def brute_repair(tokens, most=3):
     """Least edits by trying all of them."""
     def fits(t):
         stack = []
-        for c in t:
-            if c in "{\"":
+        for k, c in enumerate(t):
+            if c in "[]":  # a head and its tail stand side by side
+                if c == "[" and t[k + 1 : k + 2] != "]" or c == "]" and t[k - 1 : k] != "[":
+                    return False
+            elif c in "{\"":
                 stack.append(c)
             elif c in "}'":
                 if not stack or stack.pop() != {"}": "{", "'": '"'}[c]:
@@ -25,7 +28,7 @@ def brute_repair(tokens, most=3):
     for cost in range(most + 1):
         if any(fits(t) for t in level):
             return cost
-        level = {x for t in level for k in range(len(t) + 1) for x in [t[:k] + t[k + 1 :], *(t[:k] + c + t[k:] for c in "{}\"'")]} - seen
+        level = {x for t in level for k in range(len(t) + 1) for x in [t[:k] + t[k + 1 :], *(t[:k] + c + t[k:] for c in "{}\"'[]")]} - seen
         seen |= level
     return None
 
@@ -37,6 +40,30 @@ def test_repairs_cost_least(size):
         assert repair.repair(t)[0] == brute_repair(t, 4), t
 
 
+@pytest.mark.parametrize("size", range(1, 4))
+def test_repairs_with_heads_cost_least(size):
+    for t in itertools.product("s{}[]MX", repeat=size):
+        t = "".join(t)
+        assert repair.repair(t)[0] == brute_repair(t, 4), t
+
+
+def test_what_is_settled_before_the_chart_costs_the_same(monkeypatch):
+    import random
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("ss{}[MX\"'") for _ in range(r.randrange(1, 14))) for _ in range(400)]
+    whole = [repair.repair(t)[0] for t in texts]
+    monkeypatch.setattr(repair, "CHART_TOKENS", 0)
+    repair.repair.cache_clear()
+    assert [repair.repair(t)[0] for t in texts] == whole
+    repair.repair.cache_clear()
+
+
+def test_costs_follow_what_a_diagnostic_counts():
+    cost = lambda m: repair.repair(repair.message_skeleton(m))[0]
+    assert [cost(m) for m in ("premature end of go source: 3 brackets still open", "unbalanced braces: 9 open, 4 closed", "unbalanced braces: 2 open, 4 closed", "Tree contains 2 ERROR and 300 MISSING nodes", "c grammar rejected 4 of 90 top-level items", "expected ')' but got '}'", "expected ';' after 'x'", "Aborted")] == [3, 5, 2, 302, 4, 2, 1, 0]
+
+
 def test_places_of_edits():
     kind = lambda t: repair.kind_of(repair.repair(t)[1], len(t))
     assert [kind(t) for t in ("s", "s{s}", "s{s", 's"s', "sMs", "sXs", "s}s")] == ["", "", "truncation", "truncation", "conflict", "mismatch", "mismatch"]
