@@ -27,9 +27,9 @@ from graphloom.operators.model import newest, trimmed_lower
 #: Terminals: a statement; openers and closers of blocks, of literals and comments, and of statements that need a certain
 #: token next; a conflict marker; a foreign token.
 STATEMENT, OPEN, CLOSE, QUOTE, UNQUOTE, HEAD, TAIL, MARKER, FOREIGN = "s", "{", "}", '"', "'", "[", "]", "M", "X"
-#: Grammar in binary form: P -> I P | I; I -> s | { R | " Q | [ S; R -> P } | }; Q -> s ' | '; S -> ].
+#: Grammar in binary form: P -> I P | I; I -> s | { R | " Q | [ S; R -> P } | }; Q -> P ' | '; S -> ].
 _TERMINAL = {STATEMENT: {"P": 0, "I": 0}, CLOSE: {"R": 0}, UNQUOTE: {"Q": 0}, TAIL: {"S": 0}, OPEN: {"o": 0}, QUOTE: {"q": 0}, HEAD: {"g": 0}}
-_RULES = [("P", "I", "P"), ("P", "o", "R"), ("P", "q", "Q"), ("P", "g", "S"), ("I", "o", "R"), ("I", "q", "Q"), ("I", "g", "S"), ("R", "P", "c"), ("Q", "I", "u")]
+_RULES = [("P", "I", "P"), ("P", "o", "R"), ("P", "q", "Q"), ("P", "g", "S"), ("I", "o", "R"), ("I", "q", "Q"), ("I", "g", "S"), ("R", "P", "c"), ("Q", "P", "u")]
 _CLOSERS, _OPENER = {CLOSE: "c", UNQUOTE: "u"}, {CLOSE: OPEN, UNQUOTE: QUOTE}
 #: Cheapest way to make each symbol out of nothing: the tokens to insert.
 _NOTHING = {"P": "", "I": STATEMENT, "R": CLOSE, "Q": UNQUOTE, "c": CLOSE, "u": UNQUOTE, "o": OPEN, "q": QUOTE, "S": TAIL, "g": HEAD}
