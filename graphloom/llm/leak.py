@@ -1,11 +1,12 @@
 """Evaluation texts leaking into training text (problem 7): Wu-Manber multi-pattern search over normalised words.
 
-Patterns are runs of SEED_WORDS words of the evaluation texts. A block is two neighbouring words. The shift table tells,
-by a block's hash, how far the window may move: 2 where no pattern holds the block, 1 where a pattern starts with it, 0
-where a pattern ends with it. With shifts of at most 2 every second block decides about all windows, so half of the
-positions are never looked at and nearly all others end at one table entry. Where the shift is 0, the bucket of the
-block's suffix hash names the patterns, and comparing their words confirms an occurrence. Occurrences of one evaluation
-text that lie together are then aligned with its whole text, word by word.
+Patterns are all runs of SEED_WORDS words of the evaluation texts, read as strings over words; a block is two neighbouring
+words. The shift table tells, by the hash of the block that ends the window, how far the window may move without missing
+a pattern: the distance from the block's last place in any pattern to the pattern's end, and a whole pattern less the
+block where no pattern holds it. Texts are cut into lanes that move through their windows side by side, each by its own
+shifts. Where the shift is 0, the bucket of the window's suffix hash names the patterns that may end there, with every
+evaluation text that holds them, however many those are. Hashes only nominate: a candidate's words are then compared
+directly, in an alignment of its surroundings with the whole evaluation text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import difflib
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,15 +29,22 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.bpe import CHUNK_BYTES
 
-SEED_WORDS = 3
-#: A seed must hold a word that at most so many evaluation texts share; runs of everyday words say nothing.
-SEED_WORD_ITEMS = 3
+SEED_WORDS, BLOCK_WORDS = 3, 2
+#: A word is an evaluation text's own if at most OWN_SHARE of the texts hold it, or OWN_LEAST of them where they are few.
+#: Sentences of the same build with other content differ in such words; this decides no search, only that question.
+OWN_SHARE, OWN_LEAST = 0.0125, 3
 #: Characters of evaluation texts held by one broadcast; more texts are searched in several passes.
-PASS_CHARS = 16_000_000
+PASS_CHARS = 64_000_000
 #: Score of a word changed, added or left out inside a passage, against 1 for an equal word.
 GAP_COST = 2.0
-#: Words without an occurrence that end a cluster of occurrences.
+#: Words without an occurrence that end a cluster of occurrences; a passage of a gap this long scores less than its parts.
 CLUSTER_GAP = 60
+#: Occurrences that a passage of least_words words has at least, with its usual changes; a shorter one has one.
+LEAST_SEEDS = 2
+#: Lanes that move through a chunk side by side.
+LANES = 4096
+#: Blanks inside a tag or comment from which it holds prose and is searched as text.
+PROSE_BLANKS = 12
 
 _UNSEEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]")
 _MARKS = re.compile("[\u0300-\u036f]")
@@ -87,18 +94,21 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if at.size:
         after = data[np.minimum(at + 1, n - 1)]
         at = at[(after == 0x2F) | (after == 0x21) | (KIND[after] == _WORD)]
-        close = np.append(np.flatnonzero(data == 0x3E), n + 1000)
+        close = np.append(np.flatnonzero(data == 0x3E), n)
         stop = close[np.searchsorted(close, at)]
-        near = (stop - at <= 200) & (np.append(at[1:], n + 1000) > stop)
+        near = (stop < n) & (np.append(at[1:], n + 1) > stop)
+        at, stop = at[near], stop[near]
+        blank = np.append(0, np.cumsum((data == 32) | ((data >= 9) & (data <= 13))))
+        bare = blank[stop] - blank[at] < PROSE_BLANKS
         depth = np.zeros(n + 1, np.int8)
-        depth[at[near]] = 1
-        depth[stop[near] + 1] -= 1
+        depth[at[bare]] = 1
+        depth[stop[bare] + 1] -= 1
         inside = np.cumsum(depth[:n], dtype=np.int8) > 0
         kind[inside & (kind == _WORD)] = _SEPARATOR
     at = np.flatnonzero((data[:-1] == 0x2D) & ((data[1:] == 10) | (data[1:] == 13))) if n > 1 else np.zeros(0, np.int64)
     for k in at.tolist():  # hyphens at line ends
         stop = k + 1
-        while stop < n and stop < k + 12 and data[stop] in b" \t\r\n>*#/":
+        while stop < n and data[stop] in b" \t\r\n>*#/":
             stop += 1
         if k and stop < n and kind[k - 1] == _WORD and 97 <= data[stop] <= 122:
             kind[k:stop] = _DROPPED
@@ -133,54 +143,116 @@ def blocks(words: np.ndarray) -> np.ndarray:
     return (words[:-1] * _M2 + (words[1:] ^ (words[1:] >> np.uint64(30))) * _M3) * _M1
 
 
+def runs(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Hash of each run of SEED_WORDS words."""
+    return (pairs[: words.size - SEED_WORDS + 1] * _M4 + words[SEED_WORDS - 1 :]) * _M2
+
+
 @dataclass
 class Patterns:
-    """Tables of the search; the size follows the evaluation texts, which a pass bounds by PASS_CHARS."""
+    """Tables of the search, as flat arrays; the size follows the evaluation texts, which a pass bounds by PASS_CHARS."""
 
-    shift: np.ndarray  # by the top bits of a block's hash: bit 0 ends a seed, bit 1 starts a seed
+    shift: np.ndarray  # by the top bits of a block's hash: words that the window may move
     bits: int
     seeds: np.ndarray  # sorted seed hashes: the suffix buckets
     first: np.ndarray  # postings of each seed
-    items: np.ndarray  # item number of each posting
+    places: np.ndarray  # of each posting, the word at which the seed starts
     names: list
-    words: list[list[str]]
-    rare: list[np.ndarray]  # of each item, which words few items hold
+    letters: np.ndarray  # all words of all items, with a blank after each
+    start: np.ndarray  # where each word starts in letters, and the end
+    item: np.ndarray  # the first word of each item, and the end
+    own: np.ndarray  # of each word, whether few items hold it
+    hashes: np.ndarray  # of each word
+    fewest: np.ndarray | None = None  # own words that any passage of an item must hold, see least_own()
+    own_words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # their sorted hashes, the postings of each, and its items
 
     @classmethod
-    def build(cls, texts: list[tuple[object, str]], spread: dict[str, int] | None = None) -> Patterns:
-        """spread: in how many distinct texts each word occurs; counted in texts if they are all there are."""
-        names, words = [], []
+    def build(cls, texts: list[tuple[object, str]], spread: dict[str, int] | None = None, total: int | None = None) -> Patterns:
+        """spread: in how many of total distinct texts each word occurs; counted in texts if they are all there are."""
+        names, raw, sizes, texts_of, seen = [], [], [], [], {}
         for name, text in texts:
-            own = split_words(text)
-            if own:
+            words = split_words(text)
+            if words:
                 names.append(name)
-                words.append(own)
+                sizes.append(len(words))
+                texts_of.append(seen.setdefault(tuple(words), len(seen)))
+                raw += words
+        coded = [w.encode() for w in raw]
+        start, item = np.cumsum([0, *(len(w) + 1 for w in coded)]), np.cumsum([0, *sizes])
+        letters = np.frombuffer(b" ".join(coded) + b" ", np.uint8) if coded else np.zeros(0, np.uint8)
+        h = word_hashes(letters, start[:-1], start[1:] - 1)
+        most = max(OWN_LEAST, int(OWN_SHARE * (len(seen) if total is None else total)))
         if spread is None:
-            spread = Counter(w for own in {tuple(own) for own in words} for w in set(own))
-        rare = [np.array([spread.get(w, 0) <= SEED_WORD_ITEMS for w in own]) for own in words]
-        found: dict[int, set[int]] = defaultdict(set)
-        starts, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for k, own in enumerate(words):
-            if len(own) < SEED_WORDS:
-                continue
-            h = hash_strings(own)
-            b = blocks(h)
-            s = (b[:-1] * _M4 + h[2:]) * _M2
-            chosen = np.lib.stride_tricks.sliding_window_view(rare[k], SEED_WORDS).any(axis=1)
-            if chosen.sum() < len(s) // 8 + 1:  # nearly all its words are widely shared: every run is a seed
-                chosen = np.ones(len(s), bool)
-                rare[k] = np.zeros(len(own), bool)
-            for x in s[chosen].tolist():
-                found[x].add(k)
-            starts.append(b[:-1][chosen])
-            ends.append(b[1:][chosen])
-        bits = max(16, min(26, int(len(found)).bit_length() + 6))
-        shift = np.zeros(1 << bits, np.uint8)
-        shift[np.concatenate(ends) >> np.uint64(64 - bits)] |= 1
-        shift[np.concatenate(starts) >> np.uint64(64 - bits)] |= 2
-        seeds = np.array(sorted(found), np.uint64)
-        postings = [sorted(found[x]) for x in seeds.tolist()]
-        return cls(shift, bits, seeds, np.cumsum([0, *map(len, postings)]), np.array([i for p in postings for i in p], np.int32), names, words, rare)
+            text = np.repeat(np.array(texts_of, np.int64), sizes)
+            _, which = np.unique(h, return_inverse=True)
+            held = np.unique(which * np.int64(len(seen) + 1) + text) // np.int64(len(seen) + 1)
+            own = np.bincount(held)[which] <= most if h.size else np.zeros(0, bool)
+        else:
+            own = np.array([spread.get(w, 0) <= most for w in raw], bool)
+        bits = max(16, min(26, h.size.bit_length() + 6))
+        shift = np.full(1 << bits, SEED_WORDS - BLOCK_WORDS + 1, np.uint8)
+        where, seed = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if h.size >= SEED_WORDS:
+            pair = blocks(h)
+            seed = runs(h, pair)
+            last = np.repeat(item[1:], sizes)  # where each word's item ends
+            where = np.flatnonzero(np.arange(seed.size) + SEED_WORDS <= last[: seed.size])
+            for k in range(SEED_WORDS - BLOCK_WORDS + 1):  # a block at place k may end the window after SEED_WORDS - BLOCK_WORDS - k more words
+                np.minimum.at(shift, pair[where + k] >> np.uint64(64 - bits), SEED_WORDS - BLOCK_WORDS - k)
+            seed = seed[where]
+        order = np.argsort(seed, kind="stable")
+        seeds, first = np.unique(seed[order], return_index=True)
+        return cls(shift, bits, seeds, np.append(first, seed.size), where[order].astype(np.int32), names, letters, start, item, own, h)
+
+    def prepare(self, length: int, least_words: int) -> None:
+        """Tables of own words: what any passage of length words must hold of them, in items of least_words words or more."""
+        count, size = np.append(0, np.cumsum(self.own)), np.diff(self.item)
+        self.fewest = np.zeros(size.size, np.int64)
+        for k in np.flatnonzero(size >= max(length, least_words, 1)).tolist():
+            part = count[self.item[k] : self.item[k + 1] + 1]
+            self.fewest[k] = (part[length:] - part[: part.size - length]).min()
+        word, item = self.hashes[self.own], np.repeat(np.arange(size.size), size)[self.own]
+        order = np.lexsort((item, word))
+        word, item = word[order], item[order]
+        new = np.append(True, (word[1:] != word[:-1]) | (item[1:] != item[:-1]))[: word.size]
+        hashes, first = np.unique(word[new], return_index=True)
+        self.own_words = hashes, np.append(first, new.sum()), item[new]
+
+    def own_near(self, h: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many words from low to high of the words of hash h are own words of item, for each of them."""
+        hashes, first, items = self.own_words
+        if not hashes.size:
+            return np.zeros(item.size, np.int64)
+        where = np.minimum(np.searchsorted(hashes, h), hashes.size - 1)
+        at = np.flatnonzero(hashes[where] == h)
+        many = (first[1:] - first[:-1])[where[at]]
+        post = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[where[at]], many)
+        key = np.sort(items[post] * np.int64(h.size + 1) + np.repeat(at, many))
+        return np.searchsorted(key, item * np.int64(h.size + 1) + high) - np.searchsorted(key, item * np.int64(h.size + 1) + low)
+
+    def words(self, k: int) -> list[str]:
+        """Words of item number k."""
+        raw = self.letters[self.start[self.item[k]] : self.start[self.item[k + 1]]].tobytes()
+        return raw.decode("utf-8", "replace").split(" ")[:-1]
+
+    def occurrences(self, pair: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the words of hash h (and of block hashes pair) seeds start, and the number of each."""
+        top, windows = np.uint64(64 - self.bits), h.size - SEED_WORDS + 1
+        lanes = min(LANES, windows)
+        at = np.arange(lanes, dtype=np.int64) * windows // lanes
+        stop, found = np.append(at[1:], windows), []
+        while at.size:
+            move = self.shift[pair[at + SEED_WORDS - BLOCK_WORDS] >> top]
+            found.append(at[move == 0])
+            at = at + np.maximum(move, 1)
+            going = at < stop
+            at, stop = at[going], stop[going]
+        begin = np.concatenate(found)
+        begin.sort()
+        seed = (pair[begin] * _M4 + h[begin + SEED_WORDS - 1]) * _M2
+        where = np.minimum(np.searchsorted(self.seeds, seed), self.seeds.size - 1)
+        same = self.seeds[where] == seed
+        return begin[same], where[same]
 
 
 def split_words(text: str) -> list[str]:
@@ -193,12 +265,6 @@ def split_words(text: str) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())]
 
 
-def hash_strings(words: list[str]) -> np.ndarray:
-    raw = [w.encode() for w in words]
-    edge = np.cumsum([0, *(len(w) + 1 for w in raw)])
-    return word_hashes(np.frombuffer(b" ".join(raw) + b" ", np.uint8), edge[:-1], edge[1:] - 1)
-
-
 def passage(item: list[str], words: list[str], rare: np.ndarray) -> tuple[int, int, int, int]:
     """The best passage of item in words: words of item it spans, of them found, and the same of its rare words.
 
@@ -220,19 +286,38 @@ def passage(item: list[str], words: list[str], rare: np.ndarray) -> tuple[int, i
     return best[1:]
 
 
+#: Words of an evaluation text up to which possible() looks at all of its passages.
+POSSIBLE_WORDS = 600
+
+
+def possible(held: np.ndarray, own: np.ndarray, least: int, least_share: float) -> bool:
+    """Whether an item has a passage of least words of which enough, and enough of its own ones, are held at all.
+
+    This is necessary for an accepted alignment, whatever the order of the words, and spares most alignments with texts of
+    the same build. Items of more than POSSIBLE_WORDS words are always aligned.
+    """
+    n = held.size
+    if n > POSSIBLE_WORDS:
+        return True
+    share = np.append(0.0, np.cumsum(held)) - least_share * np.arange(n + 1) + 1e-9 * np.arange(n + 1)
+    mine = np.append(0, np.cumsum(2 * (held & own) - own.astype(np.int64)))
+    return bool(np.triu((share[:, None] <= share) & (mine[:, None] <= mine), max(1, least)).any())
+
+
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "query_text", least_words: int = 20, least_share: float = 0.8, slack: int = 3) -> DataFrame:
     """Documents that hold an evaluation text or a passage of it: (id_col, item_col, span_words int, found_words int).
 
     A passage counts if it spans at least least_words words of the item in their order (all of a shorter item), up to
     slack of which may be changed at its ends, and at least least_share of the spanned words are there, as well as half of
-    those that few items share (else it is a sentence of the same build with other content). Case,
+    its own words, those that few items hold (else it is a sentence of the same build with other content). Case,
     punctuation, line ends, markup, escapes and invisible characters do not matter. One row for each document and item;
     found_words is the number of equal words of the best passage. A row of df with a null or blank text, and an item with
     a null or blank text, gives nothing; repeated rows of df give repeated rows; an item repeated under one id counts
     once; empty tables give no rows; further columns are not read.
 
-    df is read once in a narrow pass without a shuffle. The items are the pattern side: they are read to the driver
-    and broadcast in blocks of at most PASS_CHARS characters, with one pass over df for each block.
+    Items may share passages, in any number: each comes out. df is read once in a narrow pass without a shuffle. The items
+    are the pattern side: they are read to the driver and broadcast in blocks of at most PASS_CHARS characters, with one
+    pass over df for each block.
     """
     kept = df.select(df[id_col], df[text_col].alias("__text")).filter(F.length("__text") > 0)
     own = items.select(items[item_col].alias("__id"), items[item_text_col].alias("__text")).filter(F.length("__text") > 0).distinct()
@@ -240,11 +325,12 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     total = own.agg(F.sum(F.length("__text"))).first()[0] or 0
     passes = -(-total // PASS_CHARS) or 1
     counts = _word_counts(own) if passes > 1 else None
+    texts = own.select("__text").distinct().count() if passes > 1 else None
     result = None
     for k in range(passes):
         block = own.filter(F.pmod(F.xxhash64("__id"), F.lit(passes)) == k) if passes > 1 else own
         spread = {r[0]: r[1] for r in _words(block).join(counts, "word").collect()} if counts is not None else None  # words of one block
-        patterns = Patterns.build([(r[0], r[1]) for r in block.collect()], spread)
+        patterns = Patterns.build([(r[0], r[1]) for r in block.collect()], spread, texts)
         part = _search(kept, patterns, schema, least_words, least_share, slack)
         result = part if result is None else result.unionAll(part)
     return result
@@ -265,6 +351,7 @@ def _word_counts(items: DataFrame) -> DataFrame:
 
 
 def _search(kept: DataFrame, patterns: Patterns, schema: T.StructType, least_words: int, least_share: float, slack: int) -> DataFrame:
+    patterns.prepare(least_words - slack, least_words)
     shared = kept.sparkSession.sparkContext.broadcast(patterns)
     item_type = to_arrow_type(schema[1].dataType)
 
@@ -299,41 +386,45 @@ def search_chunk(table: Patterns, data: np.ndarray, bounds: np.ndarray, least_wo
     if start.size < SEED_WORDS or not table.seeds.size:
         return []
     h = word_hashes(kept, start, end)
-    top = np.uint64(64 - table.bits)
-    probe = np.arange(1, start.size - 1, 2)  # windows 2k and 2k+1 both hold the block of words 2k+1 and 2k+2
-    pair = blocks(h)
-    value = table.shift[pair[probe] >> top]
-    hit = np.flatnonzero(value)
-    begin = np.concatenate([probe[hit[value[hit] & 1 > 0]] - 1, probe[hit[value[hit] & 2 > 0]]])
-    begin = begin[begin + SEED_WORDS <= start.size]
-    seed = (pair[begin] * _M4 + h[begin + 2]) * _M2
-    where = np.minimum(np.searchsorted(table.seeds, seed), table.seeds.size - 1)
-    same = table.seeds[where] == seed
-    begin, where = begin[same], where[same]
+    begin, where = table.occurrences(blocks(h), h)
     text = np.searchsorted(bounds, origin[start[begin]], "right") - 1
     whole = text == np.searchsorted(bounds, origin[start[begin + SEED_WORDS - 1]], "right") - 1
-    hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for t, w, b in sorted(zip(text[whole].tolist(), where[whole].tolist(), begin[whole].tolist()), key=lambda x: x[2]):
-        for item in table.items[table.first[w] : table.first[w + 1]].tolist():
-            hits[t, item].append(b)
-    if not hits:
+    begin, where, text = begin[whole], where[whole], text[whole]
+    many = table.first[where + 1] - table.first[where]
+    if not many.sum():
         return []
-    raw, out = kept.tobytes(), []
-    edges = np.searchsorted(origin[start], bounds)
-    for (t, item), places in sorted(hits.items()):
-        own, need = table.words[item], min(least_words, len(table.words[item]))
-        best, k = (0, 0), 0
-        while k < len(places):
-            j = k
-            while j + 1 < len(places) and places[j + 1] - places[j] <= CLUSTER_GAP:
-                j += 1
-            low = max(int(edges[t]), places[k] - CLUSTER_GAP)
-            high = min(int(edges[t + 1]), places[j] + SEED_WORDS + CLUSTER_GAP)
-            near = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[low:high].tolist(), end[low:high].tolist())]
-            span, equal, rare, rare_equal = passage(own, near, table.rare[item])
-            if span >= need - slack and equal >= least_share * span and 2 * rare_equal >= rare and equal > best[1]:
-                best = (span, equal)
-            k = j + 1
-        if best[1]:
-            out.append((t, item, *best))
-    return out
+    # Every occurrence once for each of its postings, by text and item, in the order of the text.
+    post = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(table.first[where], many)
+    place, begin, text = table.places[post].astype(np.int64), np.repeat(begin, many), np.repeat(text, many)
+    item = np.searchsorted(table.item, place, "right") - 1
+    order = np.lexsort((begin, item, text))
+    begin, text, item, place = begin[order], text[order], item[order], place[order]
+    size = np.diff(table.item)
+    new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > CLUSTER_GAP))
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], begin.size) - 1
+    cluster = np.cumsum(new) - 1
+    distinct = np.bincount(np.unique(cluster * np.int64(table.start.size) + place) // np.int64(table.start.size), minlength=head.size)
+    enough = np.flatnonzero(distinct >= np.where(size[item[head]] >= least_words, LEAST_SEEDS, 1))
+    low = np.maximum(np.searchsorted(origin[start], bounds)[text[head]], begin[head] - CLUSTER_GAP)
+    high = np.minimum(np.searchsorted(origin[start], bounds)[text[head] + 1], begin[tail] + SEED_WORDS + CLUSTER_GAP)
+    if table.own_words is not None:  # too few of the item's own words are near for any passage of it
+        enough = enough[2 * table.own_near(h, item[head[enough]], low[enough], high[enough]) >= table.fewest[item[head[enough]]]]
+    raw, best = kept.tobytes(), {}
+    near_key, near, there, own_key, own = None, None, h[:0], None, []
+    for c in enough.tolist():
+        t, k, x, y = int(text[head[c]]), int(item[head[c]]), int(low[c]), int(high[c])
+        mine, need = slice(table.item[k], table.item[k + 1]), min(least_words, int(size[k]))
+        if near_key != (x, y):
+            near_key, near, there = (x, y), None, np.unique(h[x:y])
+        held = there[np.minimum(np.searchsorted(there, table.hashes[mine]), there.size - 1)] == table.hashes[mine]
+        if not possible(held, table.own[mine], need - slack, least_share):
+            continue
+        if near is None:
+            near = [raw[a:z].decode("utf-8", "replace") for a, z in zip(start[x:y].tolist(), end[x:y].tolist())]
+        if own_key != k:
+            own_key, own = k, table.words(k)
+        span, equal, rare, rare_equal = passage(own, near, table.own[mine])
+        if span >= need - slack and equal >= least_share * span and 2 * rare_equal >= rare and equal > best.get((t, k), (0, 0))[1]:
+            best[t, k] = (span, equal)
+    return [(*key, *value) for key, value in sorted(best.items())]
