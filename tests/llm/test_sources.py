@@ -93,8 +93,8 @@ def test_broken_sources(spark):
     assert repair.broken_sources(files.limit(0), types).count() == 0 and {r.path for r in repair.broken_sources(files, types.limit(0)).filter("broken").collect()} == got - {"r/m.ts"}
 
 
-TELLING = ["Blocks until the lease expires.", "Rotates the queue. Not safe for concurrent writers.", "@param frame the frame whose pipelines are counted, must not be dirty\n@return -1 if there is none", "<p>Hands out a copy.</p> Callers may change it.", "Liefert nur die Einträge, die seit dem letzten Lauf geändert wurden.", "meter が閉じられた後に呼ぶと例外を投げる。", "Возвращает только изменённые записи.", "TODO: rename later. Gives up after 9 attempts.", "Copyright (c) 2015 The Authors.\n\nRounds half up, as the reports expect.", "* Skips dirty cells\n* and logs how many were left out."]
-EMPTY = [None, "", " \n\t", "setter", "Missing documentation", "Function rotateQueue.", "This function rotates the queue.", "Rotates the queue.", "return queue + 1;", "for x in queue:\n    print(x)", "const a = open(b);\nawait a.close();", "Copyright (c) 2015 The Authors. All rights reserved.", "SPDX-License-Identifier: MIT", "@param queue\n@returns", ":param queue:\n:return:", "Args:\n    queue:\n    index:\nReturns:\n", "see {@link other}", "See above.", "TODO: write docs", "eslint-disable-next-line no-empty", "-----------", "------ frozen cursor ------", "/** */", "<summary></summary>", "@inheritdoc", "\u200b", "#region helpers", "n/a", "Auto-generated method stub"]
+TELLING = ["Blocks until the lease expires.", "Rotates the queue. Not safe for concurrent writers.", "@param frame the frame whose pipelines are counted, must not be dirty\n@return -1 if there is none", "<p>Hands out a copy.</p> Callers may change it.", "Liefert nur die Einträge, die seit dem letzten Lauf geändert wurden.", "meter が閉じられた後に呼ぶと例外を投げる。", "Возвращает только изменённые записи.", "TODO: rename later. Gives up after 9 attempts.", "Copyright (c) 2015 The Authors.\n\nRounds half up, as the reports expect.", "Returns null if missing.", "Returns true if empty.", "Returns -1.", "Idempotent.", "Not reentrant.", "Never returns null.", "Unsafe.", "Deprecated: use openQueue.", "Copyright check for uploads: rejects files whose hash is listed.", "Replace every tab in text with four spaces.", "Region codes map to warehouses here.", "Coverage of the polygon in square metres.", "Created lazily on first access.", "* Skips dirty cells\n* and logs how many were left out."]
+EMPTY = [None, "", " \n\t", "setter", "Missing documentation", "Function rotateQueue.", "This function rotates the queue.", "Rotates the queue.", "return queue + 1;", "for x in queue:\n    print(x)", "const a = open(b);\nawait a.close();", "Copyright (c) 2015 The Authors. All rights reserved.", "SPDX-License-Identifier: MIT", "@param queue\n@returns", ":param queue:\n:return:", "Args:\n    queue:\n    index:\nReturns:\n", "see {@link other}", "See above.", "TODO: write docs", "eslint-disable-next-line no-empty", "-----------", "------ frozen cursor ------", "/** */", "<summary></summary>", "@inheritdoc", "\u200b", "#region helpers", "n/a", "Auto-generated method stub", "Deprecated.", "@deprecated", "Add a description here.", "Documentation to follow.", "Generated by the wizard. Replace this comment by a real one.", "Performs the operation.", "Returns the result.", "coverage: ignore", "region", "Copyright 2019 The Authors. You may use it under the terms in the LICENSE file."]
 
 
 def test_comments_that_tell():
@@ -125,6 +125,29 @@ def test_functions_of_source(spark):
     assert {r.name for r in docpairs.source_functions(df).collect()} >= {"g"}
 
 
+def functions(text, language):
+    return {f[0]: f[1:] for f in docpairs.extract_functions(text, language)}
+
+
+def test_functions_with_wrapped_signatures_and_other_forms():
+    java = "/** Drops rows older than the limit. */\npublic void purge(\n    List<Row> rows,\n    int limit)\n{\n  if (a) {\n  }\n}\n"
+    assert functions(java, "java")["purge"] == ("( List<Row> rows, int limit)", 2, 8, "/** Drops rows older than the limit. */")
+    c = "// Keeps both ends.\nstatic int clamp(int a, int b)\n{\n    return a;\n}\n"
+    assert functions(c, "c")["clamp"][1:] == (2, 5, "Keeps both ends.")
+    script = "// Counts words twice.\nexport const count = async (a, b) => {\n  go(a);\n};\n// Halves it.\nconst half = x => x / 2;\n"
+    found = functions(script, "javascript")
+    assert found["count"] == ("(a, b)", 2, 4, "Counts words twice.") and found["half"] == ("x", 6, 6, "Halves it.")
+    lua = "-- Splits at commas.\nlocal function split(s)\n  for i = 1, 3 do\n    if s then return end\n  end\nend\n-- Joins again.\nM.join = function(a, b)\n  return a\nend\n"
+    found = functions(lua, "lua")
+    assert found["split"] == ("(s)", 2, 6, "Splits at commas.") and found["join"] == ("(a, b)", 8, 10, "Joins again.")
+    assert functions(lua, None)["split"] == found["split"]
+    julia = "# Sorts in place.\nfunction order!(xs)\n  while true\n    break\n  end\nend\n"
+    assert functions(julia, "julia")["order!"] == ("(xs)", 2, 6, "Sorts in place.")
+    python = "async def load(\n    path: str,\n    *, limit=3,\n) -> dict[str, int]:\n    \"\"\"Reads at most limit lines.\"\"\"\n    return {}\n\nx = load(1)\n"
+    assert functions(python, "python") == {"load": ("( path: str, *, limit=3, ) -> dict[str, int]", 1, 6, "Reads at most limit lines.")}
+    assert functions("while (x) {\n  call(a);\n}\nfoo(\nbar(\n", "c") == {}
+
+
 def test_origins(spark):
     generated = ["r/a/x.pb.go", "r/a/x_pb2.py", "r/a/moc_x.cpp", "r/a/lex.yy.c", "r/a/y.tab.c", "r/a/zz_generated.deepcopy.go", "r/a/XGrpc.java", "r/a/X.Designer.cs", "r/a/x.g.dart", "r/generated/deep/in/x.ts", "r/a/build/generated/source/x.kt", "r/x/obj/Debug/y.cs", "r/dist/x.py", "r/a/x_generated.go"]
     minified = ["r/a/x.min.js", "r/a/x-min.js", "r/a/x.packed.js", "r/a/x.bundle.js", "r/a/x.1d4d1887.js", "r/a/x.a78c0bea.chunk.js", "r/a/x.ccdefafd.js"]

@@ -1,6 +1,6 @@
 """Diagnostics and comments in wordings of public tools, written apart from the tables: a test of readers on what they were not tuned to."""
 
-from graphloom.llm import repair
+from graphloom.llm import docpairs, repair
 
 #: What public compilers and parsers say of a text that breaks their grammar.
 BREAKS = """SyntaxError: Unexpected token '}'
@@ -140,3 +140,85 @@ def test_diagnostics_in_other_wordings():
     lost = [m for m in BREAKS if m not in found]
     assert len(found) >= 0.9 * len(BREAKS), lost
     assert len(wrong) <= 0.1 * len(SPARES), wrong
+
+
+#: Fixed values: (name, signature, docstring) that tell something, in the manner of public libraries.
+TELL = [
+    ("read", "(n=-1)", "Read up to n bytes. If n is negative, read until EOF."),
+    ("close", "()", "Safe to call more than once."),
+    ("insert", "(key, value)", "Overwrites an existing key."),
+    ("size", "()", "Counts deleted entries too."),
+    ("get", "(key)", "Returns null when absent."),
+    ("sort", "(xs)", "Stable."),
+    ("sort", "(xs)", "Not stable."),
+    ("sleep", "(ms)", "Yields to other goroutines."),
+    ("open", "(path)", "@throws FileNotFoundException if the path does not exist"),
+    ("parse", "(s)", ":param s: ISO 8601 timestamp\n:return: seconds since the epoch"),
+    ("max", "(xs)", "Raises ValueError on empty input."),
+    ("next", "()", "None at the end."),
+    ("lock", "()", "Reentrant."),
+    ("hash", "(s)", "FNV-1a, 64 bit."),
+    ("scale", "(x)", "x is in degrees."),
+    ("connect", "()", "Retries thrice with backoff."),
+    ("delete", "(id)", "Soft delete: rows stay for 30 days."),
+    ("encode", "(s)", "Percent-encodes reserved characters."),
+    ("render", "()", "Call on the UI thread."),
+    ("render", "()", "Must run before layout."),
+    ("equals", "(o)", "Ignores case."),
+    ("trim", "(s)", "Entfernt auch geschützte Leerzeichen."),
+    ("trim", "(s)", "Supprime aussi les espaces insécables."),
+    ("trim", "(s)", "先頭と末尾の空白を取り除く。"),
+    ("trim", "(s)", "Удаляет пробелы с обоих концов."),
+    ("flush", "()", "/** Blocks. */"),
+    ("fetch", "(url)", "<p>Follows at most five redirects.</p>"),
+    ("merge", "(a, b)", "Later maps win."),
+    ("pop", "()", "O(1) amortised."),
+    ("exec", "(sql)", "Deprecated, prefer query()."),
+    ("copy", "(src, dst)", "Returns the number of bytes copied."),
+    ("main", "()", "Entry point of the scheduler daemon."),
+]
+#: The same that tell nothing.
+MUTE = [
+    ("readFile", "(path: string)", "Reads file."),
+    ("readFile", "(path: string)", "Read the file at path."),
+    ("getName", "()", "Gets the name."),
+    ("getName", "()", "@return the name"),
+    ("setName", "(String name)", "Sets the name.\n@param name the name"),
+    ("isOpen", "()", "Is open?"),
+    ("close_all", "(self)", "Close all."),
+    ("UserService", "()", "Constructor."),
+    ("process", "(data)", "Processes the data."),
+    ("handleClick", "(event)", "Handle click event."),
+    ("helper", "()", "A helper function."),
+    ("run", "()", "TODO"),
+    ("run", "()", "FIXME: broken"),
+    ("run", "()", "..."),
+    ("run", "()", "No documentation available."),
+    ("run", "()", "Documentation goes here."),
+    ("run", "()", "TODO(anna): document this"),
+    ("run", "()", "{@inheritDoc}"),
+    ("run", "()", "@inheritdoc"),
+    ("run", "()", "See superclass."),
+    ("run", "()", "@see Runnable#run"),
+    ("run", "()", "eslint-disable-line"),
+    ("run", "()", "# type: ignore"),
+    ("run", "()", "SPDX-License-Identifier: Apache-2.0"),
+    ("run", "()", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("run", "()", "=================="),
+    ("run", "()", "---- private ----"),
+    ("run", "(a, b)", "@param a\n@param b\n@returns"),
+    ("run", "()", "return x + 1"),
+    ("run", "()", "Internal."),
+    ("run", "()", "noqa"),
+    ("toString", "()", "Returns a string."),
+    ("addUser", "(user)", "This method adds a user."),
+    ("add_user", "(user)", "Function to add users"),
+]
+
+
+def test_comments_in_other_wordings():
+    lost = [d for n, s, d in TELL if not docpairs.tells(d, n, s)]
+    wrong = [d for n, s, d in MUTE if docpairs.tells(d, n, s)]
+    print(len(TELL), lost, len(MUTE), wrong)
+    assert len(lost) <= 0.1 * len(TELL), lost
+    assert len(wrong) <= 0.15 * len(MUTE), wrong
