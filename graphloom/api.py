@@ -18,7 +18,7 @@ from graphloom.sources import files as sources
 TABLES = ("nodes", "edges", "refs", "files", "sources")
 
 
-class CodeGraph:
+class GraphSession:
     """Index, synchronise and query one project. Tables live in a folder that all executors reach."""
 
     def __init__(self, spark: SparkSession, store: str, registry: extract.Registry | None = None):

@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from graphloom.api import CodeGraph
+from graphloom.api import GraphSession
 from graphloom.server import serve
 from graphloom.session import local_session
 
@@ -22,7 +22,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--json", action="store_true")
     asked = parser.parse_args(args)
     spark = local_session("graphloom-cli")
-    own, text = CodeGraph(spark, asked.store), " ".join(asked.words)
+    own, text = GraphSession(spark, asked.store), " ".join(asked.words)
     if asked.command in ("index", "sync"):
         print(json.dumps(getattr(own, asked.command)(text or ".")))
         return 0

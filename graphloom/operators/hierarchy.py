@@ -1,16 +1,20 @@
 """Parent-child links to full hierarchies by pointer doubling (problem 1).
 
-Every step joins pointers with pointers, so a chain of depth d takes about log2(d) rounds. A node whose pointer still
-leads somewhere when a round resolves nobody new is on a loop or below one: a chain of finite depth has a node of each
-smaller depth, so a round without progress means that no finite chain is left.
+Pointers are doubled over nodes with one parent only, where a node has one pointer and a round one row a node: a chain of
+depth d takes log2(d) rounds, and a pointer that still leads somewhere when a round resolves nobody is on a circle or below
+one. Where lines of descent join, chains shrink to the nodes they start from and the nodes with several parents are seen
+again among what is left. So no step holds more rows than there are links, however many ancestors nodes have.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.model import trimmed_lower
+from graphloom.operators.skew import join_heavy
 from graphloom.session import cut_lineage
 
 SEPARATOR = " > "
@@ -21,20 +25,53 @@ def parent_child(edges: DataFrame, kind: str = "contains", source: str = "source
     return edges.filter(trimmed_lower(edges[kind_col]) == kind).filter(edges[source].isNotNull() & edges[target].isNotNull()).select(edges[source].alias("parent"), edges[target].alias("child"))
 
 
+def _tops(chain: DataFrame) -> DataFrame:
+    """(v, top, endless) of pointers (v, u), one for each v: where following them leads, or endless if to a circle.
+
+    Each round doubles the distance of all open pointers. A round that closes nobody is the last: a chain of finite length
+    has a node at each smaller distance from its end.
+    """
+    open_rows, closed, before = chain.select("v", "u"), None, -1
+    while (left := open_rows.count()) not in (0, before):
+        before = left
+        ahead = open_rows.select(F.col("v").alias("u"), F.col("u").alias("w"), F.lit(False).alias("ended"))
+        if closed is not None:
+            ahead = ahead.unionAll(closed.select(F.col("v").alias("u"), F.col("top").alias("w"), F.lit(True).alias("ended")))
+        moved = cut_lineage(open_rows.join(ahead, "u", "left").select("v", F.coalesce("w", "u").alias("u"), F.coalesce("ended", F.lit(True)).alias("ended")))
+        fresh = moved.filter("ended").select("v", F.col("u").alias("top"))
+        closed = fresh if closed is None else closed.unionAll(fresh)
+        open_rows = moved.filter("NOT ended").select("v", "u")
+    lost = open_rows.select("v", F.col("u").alias("top"), F.lit(True).alias("endless"))
+    return lost if closed is None else closed.withColumn("endless", F.lit(False)).unionAll(lost)
+
+
 def _endless(links: DataFrame) -> DataFrame:
     """Distinct v of links (v, u: v's parent) from which a chain of parents never ends.
 
-    The pairs of round k are a node and its ancestors at distance 2**k; nodes without any drop out, so the work shrinks
-    with each round. Where most nodes have one parent there is one pair a node.
+    Nodes with one parent fold into the node where their chain starts; links of the others follow, and those that then
+    start at a root are gone. What is left after a round without change has only parents that are left, so it is endless.
+    Links only ever become fewer. The rounds follow how often lines of descent join on a path, not its length.
     """
-    pairs, before = cut_lineage(links.repartition("v").dropDuplicates(["v", "u"])), -1
-    while True:
-        left = pairs.select("v").distinct().count()
-        if left in (0, before):
-            return pairs.select("v").distinct()
+    links, folded, before = cut_lineage(links.select("v", "u").distinct()), [], -1
+    endless = links.select("v").limit(0)
+    while (left := links.count()) not in (0, before):
         before = left
-        further = pairs.join(pairs.select(F.col("v").alias("u"), F.col("u").alias("w")), "u")
-        pairs = cut_lineage(further.select("v", F.col("w").alias("u")).repartition("v").dropDuplicates(["v", "u"]))
+        parents = cut_lineage(links.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u")))
+        several = parents.filter("n > 1").select("v")
+        tops = _tops(parents.filter("n = 1"))
+        folded.append(tops)
+        known = tops.select(F.col("v").alias("u"), "top", "endless")
+        moved = links.join(several, "v", "left_semi").join(known, "u", "left").select("v", F.coalesce("top", "u").alias("u"), F.coalesce("endless", F.lit(False)).alias("endless"))
+        looped = endless.select(F.col("v").alias("u"), F.lit(True).alias("before"))
+        moved = cut_lineage(moved.join(looped, "u", "left").select("v", "u", (F.col("endless") | F.col("before").isNotNull()).alias("endless")).distinct())
+        reached = moved.filter("endless").select("v").distinct()
+        endless = endless.unionAll(reached)
+        links = cut_lineage(moved.join(reached, "v", "left_anti").join(several.select(F.col("v").alias("u")), "u", "left_semi").select("v", "u").distinct())
+    endless = endless.unionAll(links.select("v").distinct())
+    for tops in reversed(folded):
+        below = tops.join(endless.select(F.col("v").alias("top"), F.lit(True).alias("reached")), "top", "left").filter("endless OR reached").select("v")
+        endless = endless.unionAll(below)
+    return cut_lineage(endless)
 
 
 def _endless_parents(links: DataFrame) -> DataFrame:
@@ -52,22 +89,28 @@ def loops(links: DataFrame) -> DataFrame:
     links is (parent, child) without nulls; repeated rows do not matter and a node that is its own parent is a loop.
     Loops that share nodes are one. Without loops, and for an empty table, the result is empty.
 
-    The whole graph is seen once as pairs of 64-bit hashes, in which nodes of no loop resolve within log2(depth) rounds;
-    equal hashes of two ids could only leave too many nodes, and what is left is worked on by id. There, each node keeps
-    one parent, doubling over that choice finds a loop in each part, the loop shrinks to one node, and this repeats until
-    no chain is endless; so loops that share nodes meet, and no step builds the pairs of a loop.
+    The whole graph is seen once as 64-bit hashes; equal hashes of two ids could only leave too many nodes, and what is
+    left is worked on by id. There, each node keeps one parent, doubling over that choice finds a circle in each part, all
+    that leads back to it grows onto it, the loop shrinks to one node, and this repeats until no chain is endless. The loops
+    above a node are then carried down once, over the nodes where lines of descent join.
     """
     links = links.select("parent", "child")
     core = cut_lineage(links.join(_endless_parents(links), F.xxhash64("parent") == F.col("v"), "left_semi").distinct())
     members, graph = _shrunk(core)
 
-    # Without loops inside, chains end: doubling gives each node the loops above it.
-    above = members.select(F.col("loop").alias("v"), "loop").distinct()
+    ends = members.select(F.col("loop").alias("v")).distinct()
     steps = graph.select(F.col("child").alias("v"), F.col("parent").alias("u")).distinct()
-    while not steps.isEmpty():
-        reached = steps.join(above.select(F.col("v").alias("u"), "loop"), "u").select("v", "loop")
-        above = cut_lineage(above.unionAll(reached).distinct())
-        steps = cut_lineage(steps.join(steps.select(F.col("v").alias("u"), F.col("u").alias("w")), "u").select("v", F.col("w").alias("u")).distinct())
+    parents = cut_lineage(steps.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u")).join(ends.withColumn("end", F.lit(True)), "v", "left"))
+    tops = cut_lineage(_tops(parents.filter("n = 1 AND end IS NULL")).select("v", "top"))
+    joins = parents.filter("n > 1 OR end").select("v")
+    moved = steps.join(joins, "v", "left_semi").join(tops.withColumnRenamed("v", "u"), "u", "left").select("v", F.coalesce("top", "u").alias("u")).distinct()
+    moved = cut_lineage(moved)
+    above = fresh = cut_lineage(ends.select("v", F.col("v").alias("loop")))
+    while not fresh.isEmpty():
+        reached = moved.join(fresh.select(F.col("v").alias("u"), "loop"), "u").select("v", "loop").distinct()
+        fresh = cut_lineage(reached.join(above, ["v", "loop"], "left_anti"))
+        above = cut_lineage(above.unionAll(fresh))
+    above = above.unionAll(tops.join(above.withColumnRenamed("v", "top"), "top").select("v", "loop"))
     own = members.select("node", F.col("loop").alias("own"))
     named = above.join(own, F.col("v") == F.col("own"), "left").select(F.coalesce("node", "v").alias("node_id"), F.col("loop").alias("cycle_id"))
     return named.distinct()
@@ -77,40 +120,59 @@ def _shrunk(core: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of links (parent, child): the nodes on loops as (node, loop: its smallest node), and the links with each loop shrunk to that node."""
     members = core.filter("parent = child").select(F.col("child").alias("node"), F.col("child").alias("loop"))
     graph = core.filter("parent <> child")
+    links, sure = graph, False  # where links come from a walk back from loops, nearly every node is on or below one
     while True:
-        alive = _endless(graph.select(F.col("child").alias("v"), F.col("parent").alias("u")))
-        if alive.isEmpty():
-            break
-        both = graph.join(alive, F.col("child") == F.col("v"), "left_semi").join(alive, F.col("parent") == F.col("v"), "left_semi")
-        circle = _circles(both.groupBy(F.col("child").alias("v")).agg(F.min("parent").alias("u")))
+        circle = _strong(links)
+        if circle.isEmpty():
+            if sure:
+                return members, graph
+            alive = _endless(graph.select(F.col("child").alias("v"), F.col("parent").alias("u")))
+            if alive.isEmpty():
+                return members, graph
+            links, sure = cut_lineage(graph.join(alive, F.col("child") == F.col("v"), "left_semi").join(alive, F.col("parent") == F.col("v"), "left_semi")), True
+            continue
         rename = circle.select(F.col("v").alias("old"), F.col("low").alias("new"))
         kept = members.join(rename, F.col("loop") == F.col("old"), "left").select("node", F.coalesce("new", "loop").alias("loop"))
         fresh = circle.select(F.col("v").alias("node"), F.col("low").alias("loop"))
         members = cut_lineage(kept.unionAll(fresh).distinct())
         for end in ("parent", "child"):
             graph = graph.join(rename, F.col(end) == F.col("old"), "left").withColumn(end, F.coalesce("new", end)).drop("old", "new")
-        graph = cut_lineage(graph.filter("parent <> child").distinct())
-    return members, graph
+        links = graph = cut_lineage(graph.filter("parent <> child").distinct())
+        sure = False
 
 
-def _circles(choice: DataFrame) -> DataFrame:
-    """Nodes (v, low) on the circles of a choice of one parent u for each v, where low is the circle's smallest node."""
-    choice = cut_lineage(choice)
-    jump, before = choice, -1
+def _strong(links: DataFrame) -> DataFrame:
+    """Nodes (v, low) of loops of links (parent, child): one at least in each part whose children all have parents in it.
+
+    Each node keeps one parent. Every node lies below the one circle that its choice leads to; what leads back to the
+    circle without leaving the nodes below it is on its loop, with all its chosen ancestors. low is the loop's smallest node.
+    """
+    choice = cut_lineage(links.groupBy(F.col("child").alias("v")).agg(F.min("parent").alias("u")).withColumn("low", F.least("v", "u")).withColumn("moved", F.lit(True)))
+    jumps, before = [choice], None
     while True:  # after 2**k steps from anywhere only circles and the rest of long tails are left
-        ends = jump.select(F.col("u").alias("v")).distinct()
-        left = ends.count()
-        if left == before:
+        seen = jumps[-1].agg(F.countDistinct("u"), F.max("moved")).first()
+        if not seen[0]:
+            return choice.select("v", "low").limit(0)
+        if seen[0] == before and not seen[1]:
             break
-        before = left
-        jump = cut_lineage(jump.join(jump.select(F.col("v").alias("u"), F.col("u").alias("w")), "u").select("v", F.col("w").alias("u")))
-    state = cut_lineage(choice.join(ends, "v", "left_semi").select("v", "u", F.col("v").alias("low")))
-    while True:
-        ahead = state.select(F.col("v").alias("u"), F.col("u").alias("w"), F.col("low").alias("other"))
-        state = cut_lineage(state.join(ahead, "u").select("v", F.col("w").alias("u"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("moved")))
-        if state.filter("moved").isEmpty():
-            return state.select("v", "low")
-        state = state.drop("moved")
+        before = seen[0]
+        ahead = jumps[-1].select(F.col("v").alias("u"), F.col("u").alias("w"), F.col("low").alias("other"))
+        jumps.append(cut_lineage(jumps[-1].join(ahead, "u").select("v", F.col("w").alias("u"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("moved"))))
+    strong = fresh = cut_lineage(jumps[-1].join(jumps[-1].select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("v", "low"))
+    below = jumps[-1].select("v", "u").join(strong.select(F.col("v").alias("u"), "low"), "u").select("v", "low")
+    near = links.join(below.select(F.col("v").alias("parent"), "low"), "parent").join(below.select(F.col("v").alias("child"), "low"), ["child", "low"])
+    back = cut_lineage(near.join(strong.select(F.col("v").alias("parent")), "parent", "left_anti").select("parent", "child"))
+    for level in itertools.count(1):
+        found = back.join(fresh.select(F.col("v").alias("child"), "low"), "child").select(F.col("parent").alias("v"), "low").distinct().join(strong, "v", "left_anti")
+        found = cut_lineage(found)
+        if found.isEmpty():
+            break
+        for jump in jumps if level & (level - 1) == 0 else []:  # at times, all chosen ancestors of what was found
+            found = cut_lineage(found.unionAll(found.join(jump.select("v", "u"), "v").select(F.col("u").alias("v"), "low")).distinct())
+        fresh = cut_lineage(found.join(strong, "v", "left_anti"))
+        strong = cut_lineage(strong.unionAll(fresh))
+    least = strong.groupBy("low").agg(F.min("v").alias("least"))
+    return strong.join(least, "low").select("v", F.col("least").alias("low"))
 
 
 def hierarchy(links: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -124,7 +186,7 @@ def hierarchy(links: DataFrame, order_col: str | None = None) -> DataFrame:
 
     Each round doubles the distance of all open pointers and joins path segments, so it takes log2(depth) joins. Only
     nodes with children take part; the others get their paths in one last join. The segments of looped nodes grow with the
-    rounds, to at most four times the deepest path.
+    rounds, to at most four times the deepest path. Parents that hold many of the other nodes are joined apart, see join_heavy().
     """
     links = links.filter("parent IS NOT NULL AND child IS NOT NULL")
     first = F.min_by("parent", F.struct(order_col, "parent")) if order_col else F.min("parent")
@@ -141,7 +203,7 @@ def hierarchy(links: DataFrame, order_col: str | None = None) -> DataFrame:
         closed, open_rows = closed.unionAll(moved.filter("jump IS NULL")), moved.filter("jump IS NOT NULL")
 
     above = closed.select("node", "root", "depth", "path")
-    leaves = parents.join(inner, "node", "left_anti").join(above.withColumnRenamed("node", "up"), "up", "left")
+    leaves = join_heavy(parents.join(inner, "node", "left_anti"), above.withColumnRenamed("node", "up"), "up", "left")
     looped = F.col("path").isNull()
     ends = leaves.select(F.col("node").alias("node_id"), F.col("up").alias("parent_id"), F.col("root").alias("root_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit(SEPARATOR), "node").alias("path"), looped.alias("looped"))
     none = F.lit(None).cast("string")
@@ -160,7 +222,7 @@ def descendants(links: DataFrame) -> DataFrame:
     those with several parents are reduced again. Descendants on or below loops are found apart, see _past_loops().
     """
     links = cut_lineage(links.filter("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct())
-    endless = cut_lineage(_endless_parents(links))
+    endless = _endless_parents(links)
     below = cut_lineage(links.join(endless, F.xxhash64("parent") == F.col("v"), "left_semi").select("child").distinct())
     looped = links.join(below, "child", "left_semi")
     links = links.join(below, "child", "left_anti")
@@ -177,7 +239,7 @@ def descendants(links: DataFrame) -> DataFrame:
 
     def climb(rows: DataFrame) -> DataFrame:
         own = rows.select(F.col("child").alias("v"), F.col("parent").alias("u"), F.lit(1).alias("distance"))
-        over = rows.join(near.select(F.col("v").alias("parent"), F.col("u").alias("w"), "distance"), "parent")
+        over = rows.join(near.select(F.col("v").alias("parent"), F.col("u").alias("w"), "distance"), "parent")  # AQE splits skewed parents
         return own.unionAll(over.select(F.col("child").alias("v"), F.col("w").alias("u"), F.col("distance") + 1))
 
     single = climb(leaves.join(several, "child", "left_anti"))
@@ -196,19 +258,28 @@ def _past_loops(core: DataFrame, entries: DataFrame, above: DataFrame) -> DataFr
     core has the links (parent, child) among nodes on or below loops, entries those that lead there from other nodes, and
     above the pairs (v, u, distance) over the parents of entries. Walks start only at nodes on no loop and where entries
     lead, so no loop is paired with itself unless something is above it. Round k adds the nodes at distances from 2**k to
-    2**(k + 1) - 1; a round without new ones is the last, for a shortest walk passes through all smaller distances.
+    2**(k + 1) - 1; a round without new ones is the last, for a shortest walk passes through all smaller distances. Where
+    the steps of a round outgrow the links four times, the walks go on link by link.
     """
     members, _ = _shrunk(core)
     on = members.select("node").distinct()
     sources = core.select(F.col("parent").alias("s")).unionAll(entries.select("child")).distinct()
     sources = sources.join(on, F.col("s") == F.col("node"), "left_anti").unionAll(entries.select("child").distinct()).distinct()
     near, steps, width, before = cut_lineage(sources.select("s", F.col("s").alias("v"), F.lit(0).alias("distance"))), core, 1, -1
+    most = 4 * core.count()
     while (count := near.count()) != before:
         before = count
         far = near.join(steps.withColumnRenamed("parent", "v"), "v").select("s", F.col("child").alias("v"), (F.col("distance") + width).alias("distance"))
         near = cut_lineage(near.unionAll(far).groupBy("s", "v").agg(F.min("distance").alias("distance")))
         steps = cut_lineage(steps.join(steps.select(F.col("parent").alias("child"), F.col("child").alias("w")), "child").select("parent", F.col("w").alias("child")).distinct())
         width *= 2
+        if steps.count() > most:  # steps of this width would pair the loops with themselves: go on link by link
+            edge = near.filter(F.col("distance") == width - 1)
+            while not edge.isEmpty():
+                found = edge.join(core.withColumnRenamed("parent", "v"), "v").select("s", F.col("child").alias("v"), (F.col("distance") + 1).alias("distance")).distinct()
+                edge = cut_lineage(found.join(near, ["s", "v"], "left_anti"))
+                near = cut_lineage(near.unionAll(edge))
+            break
     own = near.filter("distance > 0").join(on, F.col("s") == F.col("node"), "left_anti").select("v", F.col("s").alias("u"), "distance")
     starts = entries.select(F.col("child").alias("s"), F.col("parent").alias("u"), F.lit(1).alias("d"))
     over = entries.join(above.select(F.col("v").alias("parent"), "u", "distance"), "parent").select(F.col("child").alias("s"), "u", (F.col("distance") + 1).alias("d"))

@@ -17,11 +17,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.session import cut_lineage
 
 #: Hash buckets of the first round: counters that a task sends at most.
 KEY_BUCKETS = 1 << 14
+#: Share of the rows from which a key is joined apart.
+HEAVY_SHARE = 0.002
 #: Value bins of a key in each round.
 VALUE_BINS = 64
 #: Distinct values up to which a key is ranked in one pass.
@@ -52,6 +55,20 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], least_share: float, buckets:
     return rows.filter(bucket.isin(wanted)).groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") >= least)
 
 
+def join_heavy(df: DataFrame, other: DataFrame, key: str, how: str = "inner", least_share: float = HEAVY_SHARE) -> DataFrame:
+    """df joined (inner or left) with other, which has few rows a key, without gathering the rows of a key that holds much of df.
+
+    The rows of other whose keys hold at least least_share of df, at most 1/least_share keys, are broadcast to where those
+    rows of df are; all else is joined as usual.
+    """
+    heavy = [r[0] for r in heavy_keys(df, [key], least_share).select(key).collect() if r[0] is not None]  # at most 1 / least_share
+    if not heavy:
+        return df.join(other, key, how)
+    names = df.sparkSession.createDataFrame([(k,) for k in heavy], T.StructType([T.StructField(key, df.schema[key].dataType)]))
+    hot = df.join(F.broadcast(names), key, "left_semi").join(F.broadcast(other.join(F.broadcast(names), key, "left_semi")), key, how)
+    return df.join(F.broadcast(names), key, "left_anti").join(other, key, how).unionByName(hot)
+
+
 def distinct_counts(df: DataFrame, keys: Sequence[str], value: str, alias: str = "distinct_values") -> DataFrame:
     """Exact number of distinct non-null values of each key: (*keys, alias). Rows of a hot key spread over its values."""
     pairs = df.select(*keys, value).distinct()

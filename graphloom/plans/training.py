@@ -66,10 +66,9 @@ ORACLES = {
       FROM nodes n LEFT JOIN up u USING (node) LEFT JOIN walk w USING (node)""",
     "p1_descendants": f"""WITH RECURSIVE {_LINKS},
       reach(a, b) AS (SELECT parent, child FROM links UNION SELECT r.a, l.child FROM reach r JOIN links l ON l.parent = r.b),
-      bad AS (SELECT DISTINCT r.b AS node FROM reach r WHERE r.a IN (SELECT a FROM reach WHERE a = b)),
-      far(a, b, d) AS (SELECT parent, child, 1 FROM links WHERE child NOT IN (SELECT node FROM bad)
-        UNION SELECT f.a, l.child, f.d + 1 FROM far f JOIN links l ON l.parent = f.b WHERE l.child NOT IN (SELECT node FROM bad))
-      SELECT a AS node_id, b AS descendant_id, min(d) AS distance FROM far GROUP BY 1, 2""",
+      far(a, b, d) USING KEY (a, b) AS (SELECT parent, child, 1 FROM links WHERE parent NOT IN (SELECT a FROM reach WHERE a = b)
+        UNION SELECT f.a, l.child, f.d + 1 FROM far f JOIN links l ON l.parent = f.b LEFT JOIN recurring.far k ON k.a = f.a AND k.b = l.child WHERE k.d IS NULL)
+      SELECT a AS node_id, b AS descendant_id, d AS distance FROM far""",
     "p5_found": f"""WITH {_PAIRS} SELECT target, kind FROM pairs GROUP BY 1, 2 HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges WHERE target <> '')""",
     "p5_pair_counts": f"""WITH {_PAIRS} SELECT target, kind, count(*) AS edges, count(DISTINCT source) AS sources FROM pairs GROUP BY 1, 2""",
     "p5_line_quantiles": f"""WITH {_PAIRS} SELECT target, kind, count(line) AS n, quantile_disc(line::double, 0.25) AS q_25, quantile_disc(line::double, 0.5) AS q_50,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from typing import IO
 
 from graphloom import __doc__ as about
-from graphloom.api import CodeGraph
+from graphloom.api import GraphSession
 from graphloom.operators.report import truncated
 
 PROTOCOL = "2024-11-05"
@@ -36,7 +36,7 @@ def _lines(rows: list, *columns: str) -> str:
 class Tools:
     """The tools of one graph: name, what it does, its arguments, and the function."""
 
-    def __init__(self, graph: CodeGraph):
+    def __init__(self, graph: GraphSession):
         self.graph = graph
         named = {"symbol": "string"}
         self.all: dict[str, tuple[str, dict, Callable[[dict], str]]] = {
@@ -94,7 +94,7 @@ def answer(tools: Tools, message: dict) -> dict | None:
     return reply | {"error": {"code": -32601, "message": f"unknown method: {method}"}}
 
 
-def serve(graph: CodeGraph, source: IO[str] = sys.stdin, sink: IO[str] = sys.stdout) -> None:
+def serve(graph: GraphSession, source: IO[str] = sys.stdin, sink: IO[str] = sys.stdout) -> None:
     """Answers until the input ends; a line that is no message gets a parse error."""
     tools = Tools(graph)
     for line in source:

@@ -3,7 +3,7 @@ import subprocess
 
 import pytest
 
-from graphloom.api import CodeGraph
+from graphloom.api import GraphSession
 from graphloom.sources import files as sources
 from graphloom.streaming import feed
 
@@ -32,7 +32,7 @@ def links(graph):
 
 
 def test_project(spark, project, tmp_path):
-    graph = CodeGraph(spark, str(tmp_path / "store"))
+    graph = GraphSession(spark, str(tmp_path / "store"))
     assert graph.index(str(project))["files"] == 5
     found = links(graph)
     assert {("processValue", "formatValue", "calls"), ("main", "processValue", "calls"), ("main", "Derived", "instantiates"), ("Derived", "Base", "extends"), ("Derived", "Thing", "implements")} <= found
@@ -69,7 +69,7 @@ def test_project(spark, project, tmp_path):
     (project / "tests/main.test.ts").unlink()
     assert graph.sync(str(project)) == {"added": 1, "modified": 1, "removed": 1}
     assert graph.sync(str(project)) == {"added": 0, "modified": 0, "removed": 0}
-    anew = CodeGraph(spark, str(tmp_path / "anew"))
+    anew = GraphSession(spark, str(tmp_path / "anew"))
     anew.index(str(project))
     assert links(graph) == links(anew) and ("extra", "formatValue", "calls") in links(graph)
     assert graph.counts() == anew.counts()
