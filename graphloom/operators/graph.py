@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators.hierarchy import loops
+from graphloom.operators.hierarchy import loop_members
 from graphloom.operators.model import CALL_KINDS, CONTAINERS
 from graphloom.session import cut_lineage
 
@@ -66,6 +66,8 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 1 << 30, kinds: Sequ
         links = links.join(through.select(F.col("id").alias("b")), "b", "left_semi")
     seen = cut_lineage(starts.select("origin", "node_id", F.lit(0).alias("depth")).distinct())
     frontier, level = seen, 0
+    if depth > 1:  # levels join with one written table, spread by the node they start from
+        links = cut_lineage(links.distinct().repartition("a"))
     while level < depth and not frontier.isEmpty():
         level += 1
         found = frontier.join(links, F.col("node_id") == F.col("a")).select("origin", F.col("b").alias("node_id")).distinct()
@@ -109,9 +111,10 @@ def impact(edges: DataFrame, nodes: DataFrame, node_id: str, depth: int = 3) ->
     A reached container (class, interface, ...) brings in what it contains at its own depth, at any nesting.
     """
     known = nodes.select("id", "kind")
-    into = edges.join(known.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target")
+    known = cut_lineage(known)
+    into = cut_lineage(edges.join(known.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target").distinct().repartition("target"))
     boxes = known.filter(F.col("kind").isin(CONTAINERS)).select(F.col("id").alias("source"))
-    inside = edges.filter("kind = 'contains'").join(boxes, "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target").distinct()
+    inside = cut_lineage(edges.filter("kind = 'contains'").join(boxes, "source", "left_semi").join(known.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target").distinct().repartition("source"))
     seen = cut_lineage(nodes.filter(F.col("id") == node_id).select(F.col("id").alias("node_id"), F.lit(0).alias("depth")))
     level, fresh = 0, seen
     while True:
@@ -144,7 +147,7 @@ def find_path(edges: DataFrame, nodes: DataFrame, source: str, target: str, kind
 
     No rows if an end is missing or out of reach.
     """
-    links = of_kinds(edges, kinds).join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target").distinct()
+    links = cut_lineage(of_kinds(edges, kinds).join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target").distinct().repartition("source"))
     levels = [cut_lineage(nodes.filter(F.col("id") == source).select(F.col("id").alias("node_id"), F.lit(None).cast("string").alias("parent")))]
     seen = levels[0].select("node_id")
     while not levels[-1].isEmpty() and levels[-1].filter(F.col("node_id") == target).isEmpty():
@@ -232,14 +235,21 @@ def file_dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.filter("kind = 'imports'").select("source", "target").distinct().join(own, "target").join(other, "source").filter("path <> dependent").select("path", "dependent").distinct()
 
 
-def file_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Files on circular dependencies: (cycle_id, path), cycle_id being the smallest path of the circle."""
-    links = file_dependencies(edges, nodes).select(F.col("path").alias("parent"), F.col("depends_on").alias("child"))
-    found = loops(links)
-    above = found.withColumnRenamed("node_id", "path")
-    # Nodes below a loop come out too; on the loop are those from which the loop's smallest path is reached back.
-    back = loops(links.select(F.col("child").alias("parent"), F.col("parent").alias("child"))).withColumnRenamed("node_id", "path")
-    return above.join(back, ["path", "cycle_id"], "left_semi").select("cycle_id", "path")
+def file_links(edges: DataFrame, nodes: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Files whose symbols have links of some kinds to those of other files: distinct (path, depends_on)."""
+    own = nodes.select(F.col("id").alias("source"), F.col("file_path").alias("path"))
+    other = nodes.select(F.col("id").alias("target"), F.col("file_path").alias("depends_on"))
+    return of_kinds(edges, kinds).select("source", "target").distinct().join(own, "source").join(other, "target").filter("path <> depends_on").select("path", "depends_on").distinct()
+
+
+def file_cycles(edges: DataFrame, nodes: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
+    """Files on circular dependencies: (cycle_id, path), cycle_id being the smallest path of the circle.
+
+    Dependencies are the imports of files or, with kinds, links of those kinds between any symbols of two files.
+    """
+    found = file_links(edges, nodes, kinds) if kinds else file_dependencies(edges, nodes)
+    links = cut_lineage(found.select(F.col("path").alias("parent"), F.col("depends_on").alias("child")))
+    return loop_members(links).select(F.col("loop").alias("cycle_id"), F.col("node").alias("path"))
 
 
 def affected_tests(edges: DataFrame, nodes: DataFrame, changed: Sequence[str], is_test: Column, depth: int = 5) -> DataFrame:
@@ -248,7 +258,7 @@ def affected_tests(edges: DataFrame, nodes: DataFrame, changed: Sequence[str], i
     is_test is a predicate over a column path. Steps do not go on from test files.
     """
     spark = nodes.sparkSession
-    links = file_dependents(edges, nodes)
+    links = cut_lineage(file_dependents(edges, nodes))
     seen = spark.createDataFrame([(p,) for p in dict.fromkeys(changed)], "path string")
     fresh = seen
     for _ in range(depth):

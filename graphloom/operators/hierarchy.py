@@ -116,6 +116,13 @@ def loops(links: DataFrame) -> DataFrame:
     return named.distinct()
 
 
+def loop_members(links: DataFrame) -> DataFrame:
+    """Nodes on loops of links (parent, child) without nulls: (node, loop), loop being the smallest node of the loop."""
+    links = links.select("parent", "child")
+    core = links.join(_endless_parents(links), F.xxhash64("parent") == F.col("v"), "left_semi").distinct()
+    return _shrunk(cut_lineage(core))[0]
+
+
 def _shrunk(core: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of links (parent, child): the nodes on loops as (node, loop: its smallest node), and the links with each loop shrunk to that node."""
     members = core.filter("parent = child").select(F.col("child").alias("node"), F.col("child").alias("loop"))

@@ -222,6 +222,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, earlier: DataFrame | None = None)
     more end the search; below, the surer of them and of the first strategy that finds a symbol holds, the earlier on
     ties. Null names resolve to nothing; repeated references resolve each; empty tables give no rows.
     """
+    nodes = cut_lineage(nodes.select("id", *COLUMNS))  # every strategy reads it
     left = with_possible_match(without_builtins(refs.filter("reference_name IS NOT NULL").select(REF_COLUMNS), nodes), nodes)
     if earlier is not None:
         earlier = earlier.withColumn("__r", F.row_number().over(W.partitionBy("ref_id").orderBy(F.desc("confidence"), "resolved_by", "target_id"))).filter("__r = 1").drop("__r")

@@ -28,7 +28,7 @@ HEAVY_SHARE = 0.002
 #: Value bins of a key in each round.
 VALUE_BINS = 64
 #: Distinct values up to which a key is ranked in one pass.
-FEW_VALUES = 4096
+FEW_VALUES = 256
 #: Counted rows up to which a table of keys is broadcast, and parts of a key beyond.
 BROADCAST_ROWS, SALTS = 20_000, 16
 

@@ -50,9 +50,9 @@ def name_lower(spark: SparkSession, folder: str) -> DataFrame:
     return scans.nodes_by_lower_name(views.nodes(spark, folder, "name"), "LogEvent")
 
 
-@query(sql("SELECT id, qualified_name FROM n WHERE kind IN ('function', 'method', 'class', 'interface', 'struct', 'enum', 'type_alias') AND regexp_matches(qualified_name, '(?s)^.*Queue.$')", views.N))
+@query(sql("SELECT id, qualified_name FROM n WHERE kind IN ('function', 'method', 'class', 'interface', 'struct', 'enum', 'type_alias') AND regexp_matches(qualified_name, '(?s)^.*Queue.*$')", views.N))
 def qualified_glob(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.nodes_by_qualified_name(views.nodes(spark, folder, "kind", "qualified_name"), "*Queue?").drop("kind")
+    return scans.nodes_by_qualified_name(views.nodes(spark, folder, "kind", "qualified_name"), "*Queue*").drop("kind")
 
 
 @query(sql(f"SELECT edge_id, target, kind FROM e WHERE source = '{BOX}' AND kind IN ('contains', 'calls')", views.E))

@@ -167,6 +167,32 @@ def file_cycles(spark: SparkSession, folder: str) -> DataFrame:
     return graph.file_cycles(*_both(spark, folder, "kind", "file_path"))
 
 
+_CALLED = "d AS (SELECT DISTINCT a.file_path AS path, b.file_path AS depends_on FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE e.kind IN ('calls', 'contains', 'extends') AND a.file_path <> b.file_path)"
+
+
+@query(
+    sql(
+        "SELECT min(y.b) AS cycle_id, x.a AS path FROM reach x JOIN reach y ON x.a = y.a JOIN reach z ON z.a = y.b AND z.b = y.a WHERE x.a = x.b GROUP BY x.a",
+        N, E, _CALLED,
+        recursive="reach(a, b) AS (SELECT path, depends_on FROM d UNION SELECT r.a, d.depends_on FROM reach r JOIN d ON d.path = r.b)",
+    )
+)
+def file_cycles_of_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Files on circles of calls, containment and inheritance between symbols."""
+    return graph.file_cycles(*_both(spark, folder, "kind", "file_path"), kinds=["calls", "contains", "extends"])
+
+
+_PATHS = f"""walk(node, depth) AS (SELECT id, 0 FROM n WHERE id = '{BOX}' UNION SELECT e.target, w.depth + 1 FROM walk w JOIN e ON e.source = w.node JOIN n ON n.id = e.target WHERE w.depth < 8),
+  level AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1),
+  back(node, depth) AS (SELECT node, depth FROM level WHERE node = '{TYPE}' UNION ALL SELECT (SELECT min(e.source) FROM e JOIN level l ON l.node = e.source WHERE e.target = b.node AND l.depth = b.depth - 1), b.depth - 1 FROM back b WHERE b.depth > 0)"""
+
+
+@query(sql("SELECT depth::int AS step, node AS node_id FROM back", N, E, recursive=_PATHS))
+def find_path_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of a shortest path."""
+    return graph.find_path(*_both(spark, folder), BOX, TYPE)
+
+
 _IS_TEST = r"regexp_matches(path, '\.spec\.|\.test\.|(^|/)__tests__/|(^|/)tests?/|(^|/)e2e/|(^|/)spec/')"
 
 

@@ -60,19 +60,42 @@ def _alone(level: int, tables: str, hits: str) -> str:
     return sql(f"SELECT * FROM {hits}", N, _U, recursive=f"left{level} AS (SELECT * FROM u), {tables}")
 
 
-@query(_alone(0, _FILE, "file_path_hits"))
+#: References that symbols themselves would be called by, as (kind of symbol, SQL of the name); no given reference has such names.
+_OWN_NAMES = {
+    "path": ("file", r"regexp_extract(file_path, '([^/]+/[^/]+)$', 1)"),
+    "qualified": ("method", "qualified_name"),
+    "call": ("method", r"regexp_extract(qualified_name, '(\w+)(::|[.])\w+$', 1) || '.' || name"),
+}
+
+
+def _with_own(spark: SparkSession, folder: str, form: str) -> tuple[DataFrame, DataFrame]:
+    """All given references, and one more for each symbol of a kind under a name of its own."""
+    refs, nodes = _inputs(spark, folder)
+    kind, name = _OWN_NAMES[form]
+    own = nodes.filter(F.col("kind") == kind).selectExpr("id AS ref_id", "id AS from_node_id", f"{name.replace(chr(92), chr(92) * 2)} AS reference_name", "'calls' AS reference_kind", "start_line AS line", "file_path", "language")
+    return refs.withColumn("ref_id", F.col("ref_id").cast("string")).unionByName(own), nodes
+
+
+def _alone_with_own(form: str, level: int, tables: str, hits: str) -> str:
+    kind, name = _OWN_NAMES[form]
+    u = f"""u AS (SELECT ref_id::varchar AS ref_id, from_node_id, reference_name AS rn, reference_kind AS rk, line, file_path AS rp, language AS rl FROM unresolved_refs WHERE reference_name IS NOT NULL
+      UNION ALL SELECT id, id, {name}, 'calls', start_line, file_path, language FROM n WHERE kind = '{kind}' AND ({name}) IS NOT NULL)"""
+    return sql(f"SELECT * FROM {hits}", N, u, recursive=f"left{level} AS (SELECT * FROM u), {tables}")
+
+
+@query(_alone_with_own("path", 0, _FILE, "file_path_hits"))
 def resolve_file_path(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.by_file_path(*_inputs(spark, folder))
+    return resolve.by_file_path(*_with_own(spark, folder, "path"))
 
 
-@query(_alone(1, _QUALIFIED, "qualified_hits"))
+@query(_alone_with_own("qualified", 1, _QUALIFIED, "qualified_hits"))
 def resolve_qualified(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.by_qualified_name(*_inputs(spark, folder))
+    return resolve.by_qualified_name(*_with_own(spark, folder, "qualified"))
 
 
-@query(_alone(2, _METHOD, "method_hits"))
+@query(_alone_with_own("call", 2, _METHOD, "method_hits"))
 def resolve_method(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.by_method_call(*_inputs(spark, folder))
+    return resolve.by_method_call(*_with_own(spark, folder, "call"))
 
 
 @query(_alone(3, _EXACT, "exact_hits"))

@@ -69,6 +69,8 @@ def test_name_bonus_and_lines(spark):
 
 
 def test_safety():
+    assert not any(tx.is_safe_regex(x) for x in ("x{9}+", "a++", "a+ *")) and tx.parse_query('say "two words" kind:class').text == 'say "two words"'
+    assert not tx.looks_like_feature("show me how to add one") and tx.looks_like_feature("swap both parts") and not tx.looks_like_feature("add a check for undefined")
     assert not tx.is_safe_regex("(a+)+") and not tx.is_safe_regex("(") and tx.is_safe_regex("a+b")
     assert tx.path_within("/r", "a/../b") and not tx.path_within("/r", "../x") and not tx.path_within("/r", "/etc")
     assert tx.qualifier_tail("crate::configurator::stage_apply::run") == "run" and tx.qualifier_tail("Session.request") == "request"
