@@ -132,6 +132,44 @@ def impact(edges: DataFrame, nodes: DataFrame, node_id: str, depth: int = 3) ->
         seen = seen.unionAll(fresh)
 
 
+def _first_edge(found: DataFrame) -> DataFrame:
+    """One link a node: containment before calls before others, then the least edge_id."""
+    rank = F.when(F.col("kind") == "contains", 0).when(F.col("kind") == "calls", 1).otherwise(2)
+    best = found.groupBy("node_id", "depth").agg(F.min_by(F.struct("parent_id", "edge_id", "kind"), F.struct(rank, "edge_id")).alias("e"))
+    return best.select("node_id", "depth", "e.parent_id", "e.edge_id", "e.kind")
+
+
+def tree_edges(edges: DataFrame, found: DataFrame, direction: str = "outgoing", kinds: Sequence[str] | None = None) -> DataFrame:
+    """The links that lead a traversal to what it found: (node_id, depth, parent_id, edge_id, kind), one for each node but the root.
+
+    found is (node_id, depth). A link leads from a node one level nearer; containment comes before calls before all else,
+    then the least edge_id.
+    """
+    links = of_kinds(edges, kinds).select("edge_id", "kind", F.col("source").alias("parent_id"), F.col("target").alias("node_id"))
+    turned = links.select("edge_id", "kind", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("node_id"))
+    links = turned if direction == "incoming" else links.unionAll(turned) if direction == "both" else links
+    near = found.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("above"))
+    return _first_edge(links.join(found, "node_id").join(near, "parent_id").filter("above = depth - 1"))
+
+
+def impact_edges(edges: DataFrame, nodes: DataFrame, found: DataFrame, node_id: str) -> DataFrame:
+    """The links of impact(): (node_id, depth, parent_id, edge_id, kind); a member hangs on its container at the same depth."""
+    level = found.join(nodes.select(F.col("id").alias("node_id"), F.col("kind").alias("own_kind")), "node_id")
+    near = level.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("above"), F.col("own_kind").alias("above_kind"))
+    into = edges.select("edge_id", "kind", F.col("target").alias("parent_id"), F.col("source").alias("node_id"))
+    inside = edges.filter("kind = 'contains'").select("edge_id", "kind", F.col("source").alias("parent_id"), F.col("target").alias("node_id"))
+    rows = found.filter(F.col("node_id") != node_id)
+    reached = into.join(rows, "node_id").join(near, "parent_id").filter("above = depth - 1")
+    member = inside.join(rows, "node_id").join(near, "parent_id").filter((F.col("above") == F.col("depth")) & F.col("above_kind").isin(CONTAINERS) & (F.col("parent_id") != F.col("node_id")))
+    return _first_edge(reached.unionByName(member))
+
+
+def path_edges(edges: DataFrame, path: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
+    """The links along a path (step, node_id): (step, source, target, edge_id), of several the least edge_id."""
+    ends = path.select(F.col("node_id").alias("source"), (F.col("step") + 1).alias("step")).join(path.select(F.col("node_id").alias("target"), "step"), "step")
+    return of_kinds(edges, kinds).join(ends, ["source", "target"]).groupBy("step", "source", "target").agg(F.min("edge_id").alias("edge_id"))
+
+
 def type_hierarchy(edges: DataFrame, nodes: DataFrame, node_id: str, both: bool = True) -> DataFrame:
     """Super types and, with both, sub types at any distance: (node_id, role, depth)."""
     kinds, first = ["extends", "implements"], start(nodes, node_id)

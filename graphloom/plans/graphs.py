@@ -264,6 +264,60 @@ def node_context(spark: SparkSession, folder: str) -> DataFrame:
     return graph.node_context(*_both(spark, folder, "kind", "file_path"), BOX)
 
 
+_RANK = "CASE kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END"
+_LEVELS = "level AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1)"
+
+
+def _hung(rows: str) -> str:
+    return f"SELECT node AS node_id, depth::int AS depth, parent_id, edge_id, kind FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY node ORDER BY {_RANK}, edge_id) = 1"
+
+
+@query(sql(_hung("SELECT l.node, l.depth, e.source AS parent_id, e.edge_id, e.kind FROM level l JOIN e ON e.target = l.node JOIN level p ON p.node = e.source AND p.depth = l.depth - 1"), N, E, recursive=_walk("SELECT source AS a, target AS b FROM e", 3, BOX) + ", " + _LEVELS))
+def bfs_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The links of a breadth-first tree."""
+    edges, nodes = _both(spark, folder)
+    return graph.tree_edges(edges, graph.traverse(edges, nodes, BOX, graph.Traversal(depth=3)))
+
+
+@query(
+    sql(
+        _hung(
+            f"""SELECT l.node, l.depth, e.target AS parent_id, e.edge_id, e.kind FROM level l JOIN e ON e.source = l.node JOIN level p ON p.node = e.target AND p.depth = l.depth - 1 WHERE l.node <> '{TYPE}'
+            UNION ALL SELECT l.node, l.depth, e.source, e.edge_id, e.kind FROM level l JOIN e ON e.target = l.node AND e.kind = 'contains' JOIN level p ON p.node = e.source AND p.depth = l.depth AND p.node <> l.node
+            JOIN n ON n.id = p.node AND n.kind IN ('class', 'interface', 'struct', 'trait', 'protocol', 'module', 'enum') WHERE l.node <> '{TYPE}'"""
+        ),
+        N, E,
+        recursive=f"""links AS (SELECT e.target AS a, e.source AS b, 1 AS cost FROM e JOIN n ON n.id = e.source
+          UNION SELECT e.source, e.target, 0 FROM e JOIN n ON n.id = e.source AND n.kind IN ('class', 'interface', 'struct', 'trait', 'protocol', 'module', 'enum') WHERE e.kind = 'contains'),
+        walk(node, depth) AS (SELECT id, 0 FROM n WHERE id = '{TYPE}' UNION SELECT l.b, w.depth + l.cost FROM walk w JOIN links l ON l.a = w.node JOIN n ON n.id = l.b WHERE w.depth + l.cost <= 2), {_LEVELS}""",
+    )
+)
+def impact_edges(spark: SparkSession, folder: str) -> DataFrame:
+    edges, nodes = _both(spark, folder)
+    return graph.impact_edges(edges, nodes, graph.impact(edges, nodes, TYPE, 2), TYPE)
+
+
+@query(sql("SELECT b.depth::int AS step, a.node AS source, b.node AS target, min(e.edge_id) AS edge_id FROM back a JOIN back b ON b.depth = a.depth + 1 JOIN e ON e.source = a.node AND e.target = b.node GROUP BY 1, 2, 3", N, E, recursive=_PATHS))
+def find_path_edges(spark: SparkSession, folder: str) -> DataFrame:
+    edges, nodes = _both(spark, folder)
+    return graph.path_edges(edges, graph.find_path(edges, nodes, BOX, TYPE))
+
+
+@query(
+    sql(
+        f"SELECT edge_id, source, target, kind FROM e WHERE kind IN {CALLS} AND source IN (SELECT node FROM up UNION SELECT node FROM down) AND target IN (SELECT node FROM up UNION SELECT node FROM down)",
+        N, E,
+        recursive=f"""up(node, depth) AS (SELECT id, 0 FROM n WHERE id = '{HOT}' UNION SELECT e.source, u.depth + 1 FROM up u JOIN e ON e.target = u.node AND e.kind IN {CALLS} JOIN n ON n.id = e.source WHERE u.depth < 2),
+        down(node, depth) AS (SELECT id, 0 FROM n WHERE id = '{HOT}' UNION SELECT e.target, d.depth + 1 FROM down d JOIN e ON e.source = d.node AND e.kind IN {CALLS} JOIN n ON n.id = e.target WHERE d.depth < 2)""",
+    )
+)
+def call_graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The links among the symbols of a call graph."""
+    edges, nodes = _both(spark, folder)
+    found = graph.call_graph(edges, nodes, HOT, 2).select(F.col("node_id").alias("id"))
+    return graph.edges_between(edges, found, ["calls", "references", "imports"]).select("edge_id", "source", "target", "kind")
+
+
 _DEPTHS = """up AS (SELECT target AS node, min(source) AS parent FROM e WHERE kind = 'contains' GROUP BY 1),
   walk(node, depth) AS (SELECT source, 0 FROM (SELECT DISTINCT source FROM e WHERE kind = 'contains') WHERE source NOT IN (SELECT node FROM up) UNION ALL SELECT u.node, w.depth + 1 FROM walk w JOIN up u ON u.parent = w.node)"""
 
