@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fcntl
+import json
 from collections.abc import Sequence
 from contextlib import contextmanager
 from pathlib import Path
@@ -14,6 +15,7 @@ from graphloom.functions import columns as fx
 from graphloom.functions.text import file_glob
 from graphloom.operators import context, extract, frameworks, graph, report, resolve, scans, search, stats, storage
 from graphloom.sources import files as sources
+from graphloom.sources.manifests import load_aliases
 
 TABLES = ("nodes", "edges", "refs", "files", "sources")
 
@@ -35,6 +37,7 @@ class GraphSession:
 
     def index(self, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> dict[str, int]:
         """Reads, extracts and resolves a whole project anew."""
+        self._note_aliases(root)
         return self.index_rows(sources.read_files(self.spark, root, include, exclude))
 
     def index_rows(self, texts: DataFrame) -> dict[str, int]:
@@ -47,8 +50,12 @@ class GraphSession:
 
     def sync(self, root: str, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> dict[str, int]:
         """Takes in what changed since; the result equals a full index."""
+        self._note_aliases(root)
         return self.sync_rows(sources.read_files(self.spark, root, include, exclude))
 
+    def _note_aliases(self, root: str) -> None:
+        self.store.set_metadata("aliases", json.dumps(load_aliases(root)))
+
     def sync_rows(self, texts: DataFrame) -> dict[str, int]:
         with self._locked():
             plan = storage.sync_plan(texts, self.store.read("files")).cache()
@@ -96,11 +103,17 @@ class GraphSession:
         self.store.write("unresolved", refs.join(found, "ref_id", "left_anti"))
 
     def _imports(self, nodes: DataFrame, refs: DataFrame) -> DataFrame:
-        table = extract.import_table(self.store.read("sources"))
+        """References resolved by imports, through path aliases and re-exports."""
+        texts, aliases = self.store.read("sources"), [tuple(a) for a in json.loads(self.store.metadata().get("aliases", "[]"))]
         known = nodes.filter("kind = 'file'").select(F.col("file_path").alias("module_path"))
-        tried = table.select("path", "local_name", "export_name", F.posexplode("candidates").alias("rank", "module_path"))
-        hit = tried.join(known, "module_path", "left_semi").groupBy("path", "local_name", "export_name").agg(F.min_by("module_path", "rank").alias("module_path"))
-        return resolve.by_import(refs, hit.withColumnRenamed("path", "file_path"), nodes)
+
+        def files_of(table: DataFrame) -> DataFrame:
+            tried = table.select("path", "local_name", "export_name", "module", F.posexplode("candidates").alias("rank", "module_path"))
+            hit = tried.join(known, "module_path", "left_semi").groupBy("path", "local_name", "export_name", "module").agg(F.min_by("module_path", "rank").alias("module_path"))
+            return hit.withColumnRenamed("path", "file_path").drop("module")
+
+        exports = files_of(extract.export_table(texts, aliases=aliases)).select("file_path", F.col("local_name").alias("export_name"), "module_path", F.col("export_name").alias("source_name"))
+        return resolve.by_import(refs, files_of(extract.import_table(texts, aliases=aliases)), nodes, exports)
 
     # Reading
 

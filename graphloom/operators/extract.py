@@ -752,14 +752,25 @@ def import_candidates(importer: str, module: str, language: str, aliases: list[t
 _MAPPING = "path string, local_name string, export_name string, module string, candidates array<string>"
 
 
-def import_table(files: DataFrame, path_col: str = "path", content_col: str = "content", language_col: str | None = None) -> DataFrame:
-    """Imports of all files: (path, local_name, export_name, module, candidates)."""
+def import_table(files: DataFrame, path_col: str = "path", content_col: str = "content", language_col: str | None = None, aliases: list[tuple[str, str]] = ()) -> DataFrame:
+    """Imports of all files: (path, local_name, export_name, module, candidates); aliases are (pattern, target) of module paths."""
+    return _import_rows(files, path_col, content_col, language_col, aliases, import_mappings)
+
+
+def export_table(files: DataFrame, path_col: str = "path", content_col: str = "content", language_col: str | None = None, aliases: list[tuple[str, str]] = ()) -> DataFrame:
+    """Re-exports of all files, in the columns of import_table(): local_name is the exported name or *, export_name the name in the module."""
+    return _import_rows(files, path_col, content_col, language_col, aliases, lambda text, language: re_exports(text) if _FAMILY.get(language, language) == "typescript" else [])
+
+
+def _import_rows(files: DataFrame, path_col: str, content_col: str, language_col: str | None, aliases: list[tuple[str, str]], names: Callable[[str, str], list[tuple[str, str, str]]]) -> DataFrame:
+    aliases = list(aliases)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content, language in zip(batch["path"], batch["content"], batch["language"]):
                 language = language or detect_language(path, content)
-                rows += [(path, a, b, m, import_candidates(path, m, language)) for a, b, m in import_mappings(content or "", language)]
+                rows += [(path, a, b, m, import_candidates(path, m, language, aliases)) for a, b, m in names(content or "", language)]
             yield pd.DataFrame(rows, columns=["path", "local_name", "export_name", "module", "candidates"])
 
     language = files[language_col] if language_col else F.lit(None).cast("string")

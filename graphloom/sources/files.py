@@ -85,7 +85,8 @@ def list_files(spark: SparkSession, root: str, include: Iterable[str] = (), excl
 def read_files(spark: SparkSession, root: str, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> DataFrame:
     """Contents of the sources below a directory: (path, content, size, modified_at, content_hash); too large ones have a null content.
 
-    Files are listed and read by the executors, so root must be on storage that all of them reach.
+    Files are listed and read by the executors, so root must be on storage that all of them reach. Where root is a
+    repository, files that git ignores are left out.
     """
     base = Path(root).resolve().as_uri()
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
@@ -93,5 +94,7 @@ def read_files(spark: SparkSession, root: str, include: Iterable[str] = (), excl
     rows = rows.withColumn("path", path).filter(included(F.col("path"), include, exclude))
     inside = "|".join(re.escape(d) for d in EXCLUDED_DIRS)
     rows = rows.filter(~F.col("path").rlike(rf"(^|/)({inside})/"))
+    if git_visible_files(root) is not None:
+        rows = rows.join(list_files(spark, root, include, exclude), "path", "left_semi")
     text = F.when(F.col("length") <= MAX_BYTES, F.make_valid_utf8(F.col("content").cast("string")))
     return rows.select("path", text.alias("content"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("content_hash"))

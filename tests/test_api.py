@@ -123,3 +123,27 @@ def test_manifests(tmp_path):
     registry.register("patterns", manifests.pattern_extractor(config), framework=True)
     assert ("constant", "me") in {(n["kind"], n["name"]) for n in extract.extract_source("a.ts", "// TODO(me)\n", registry=registry).nodes}
     assert report.truncated("a\n" * 10, 11).startswith("a\na\na\na\na") and report.size_text(2048) == "2.0 KB"
+
+
+def test_aliases_re_exports_and_ignored_files(spark, tmp_path):
+    root = tmp_path / "aliased"
+    texts = {
+        "tsconfig.json": '{"compilerOptions": {"paths": {"@lib/*": ["packages/lib/*"]}}} // aliases\n',
+        "packages/lib/parts.ts": "export function sum(a: number) {\n  return a;\n}\nexport function keep(a: number) {\n  return a;\n}\n",
+        "packages/lib/more.ts": "export { sum as total } from './parts';\n",
+        "packages/lib/index.ts": "export * from './more';\nexport { keep } from './parts';\n",
+        "other/parts.ts": "export function total(a: number) {\n  return a;\n}\nexport function keep(a: number) {\n  return a;\n}\n",
+        "app/run.ts": "import { total, keep } from '@lib/index';\nexport function run() {\n  return total(1) + keep(2);\n}\n",
+        "app/secret.ts": "export function secret() {\n  return 1;\n}\n",
+        ".gitignore": "app/secret.ts\n",
+    }
+    for path, text in texts.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    subprocess.run(["git", "init", "-q", str(root)], check=True)
+    graph = GraphSession(spark, str(tmp_path / "aliased-store"))
+    graph.index(str(root))
+    nodes = {r.id: r for r in graph.nodes.collect()}
+    assert "secret" not in {n.name for n in nodes.values()}
+    called = {(nodes[e.target].name, nodes[e.target].file_path) for e in graph.edges.collect() if e.kind == "calls" and nodes[e.source].name == "run"}
+    assert called == {("sum", "packages/lib/parts.ts"), ("keep", "packages/lib/parts.ts")}
