@@ -64,10 +64,11 @@ HOT_FILES = 200_000
 COLUMNS, TOLD, EVIDENCE = ([f"{c}{k}" for k in range(len(LABELS))] for c in "mte")
 
 
-def _pass(df: DataFrame, fit: list[list[float]], up: bool, values: list[str], out: list[str], starts: dict[int, Column] | None = None) -> DataFrame:
+def _pass(df: DataFrame, fit: list[list[float]], up: bool, values: list[str], out: list[str], starts: list[int] = ()) -> DataFrame:
     """df with columns out, the message of log values through an edge: up from content to directory, or down.
 
-    starts tells by label of the content where a name starts a tree of that label: there it goes with any directory.
+    starts has the labels k for which a column s<k> tells that the content's name starts a tree of that label: there it goes
+    with any directory.
     """
     df = df.withColumn("__top", F.greatest(*values))
     df = df.withColumns({f"__w{k}": F.exp(F.col(v) - F.col("__top")) for k, v in enumerate(values)})
@@ -76,7 +77,7 @@ def _pass(df: DataFrame, fit: list[list[float]], up: bool, values: list[str], ou
     def weighed(own: int, other: int) -> Column:
         above, below = (own, other) if up else (other, own)
         weight = F.lit(fit[above][below])
-        return F.col(f"__w{other}") * (F.when(starts[below], 1.0).otherwise(weight) if starts and below in starts else weight)
+        return F.col(f"__w{other}") * (F.when(F.col(f"s{below}"), 1.0).otherwise(weight) if below in starts else weight)
 
     sums = {name: F.col("__top") + F.log(sum((weighed(a, b) for b in many[1:]), weighed(a, 0))) for a, name in enumerate(out)}
     return df.withColumns(sums).drop("__top", *[f"__w{k}" for k in many])
@@ -127,8 +128,8 @@ def label_files(files: DataFrame, large_bytes: int = LARGE_BYTES) -> DataFrame:
         here = waiting.filter(F.col("depth") == depth).select("dir", *COLUMNS)
         if arriving is not None:
             here = here.unionAll(arriving).groupBy("dir").agg(*[F.sum(m).alias(m) for m in COLUMNS])
-        belief = here.withColumns({m: F.col(m) + own for m, own in named.items()}).withColumn("parent", parent)
-        levels.append(cut_lineage(_pass(belief, NESTED, True, COLUMNS, TOLD, starts)))
+        belief = here.withColumns({m: F.col(m) + own for m, own in named.items()} | {"parent": parent} | {f"s{k}": there for k, there in starts.items()})
+        levels.append(cut_lineage(_pass(belief, NESTED, True, COLUMNS, TOLD, list(starts))))
         arriving = levels[-1].select(F.col("parent").alias("dir"), *TOLD).groupBy("dir").agg(*sums)
 
     prior = [math.log(p) for p in NESTED[HAND]]
@@ -136,7 +137,7 @@ def label_files(files: DataFrame, large_bytes: int = LARGE_BYTES) -> DataFrame:
     for belief in reversed(levels[:-1]):
         over = upper.select(F.col("dir").alias("parent"), *[F.col(m).alias(f"p_{m}") for m in COLUMNS])
         rest = belief.join(over, "parent").withColumns({f"p_{m}": F.col(f"p_{m}") - F.col(t) for m, t in zip(COLUMNS, TOLD)})  # without what it told itself
-        down = _pass(rest, NESTED, False, [f"p_{m}" for m in COLUMNS], [f"d_{m}" for m in COLUMNS], starts)
+        down = _pass(rest, NESTED, False, [f"p_{m}" for m in COLUMNS], [f"d_{m}" for m in COLUMNS], list(starts))
         upper = cut_lineage(down.select("dir", *[(F.col(m) + F.col(f"d_{m}")).alias(m) for m in COLUMNS]))
         beliefs = beliefs.unionAll(upper)
 
@@ -147,7 +148,7 @@ def label_files(files: DataFrame, large_bytes: int = LARGE_BYTES) -> DataFrame:
         beliefs = beliefs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(int(salts) - 1))))
     rest = leaves.join(beliefs, keys).withColumns({m: F.col(m) - F.col(t) for m, t in zip(COLUMNS, TOLD)})
     down = _pass(rest, POTENTIAL, False, COLUMNS, [f"d_{m}" for m in COLUMNS])
-    final = down.select("path", *[(F.col(e) + F.col(f"d_{m}")).alias(m) for e, m in zip(EVIDENCE, COLUMNS)]).withColumn("top", F.greatest(*COLUMNS))
+    final = cut_lineage(down.select("path", *[(F.col(e) + F.col(f"d_{m}")).alias(m) for e, m in zip(EVIDENCE, COLUMNS)])).withColumn("top", F.greatest(*COLUMNS))  # one stage would grow too large to compile
     label = F.coalesce(*[F.when(F.col(m) == F.col("top"), name) for m, name in zip(COLUMNS, LABELS)])
     p = F.exp(F.col(COLUMNS[HAND]) - F.col("top")) / sum((F.exp(F.col(m) - F.col("top")) for m in COLUMNS[1:]), F.exp(F.col(COLUMNS[HAND]) - F.col("top")))
     return final.select("path", label.alias("label"), p.alias("p_handwritten")).withColumn("handwritten", F.col("p_handwritten") >= 0.5)
