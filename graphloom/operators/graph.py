@@ -286,7 +286,7 @@ def file_cycles(edges: DataFrame, nodes: DataFrame, kinds: Sequence[str] | None
     Dependencies are the imports of files or, with kinds, links of those kinds between any symbols of two files.
     """
     found = file_links(edges, nodes, kinds) if kinds else file_dependencies(edges, nodes)
-    links = cut_lineage(found.select(F.col("path").alias("parent"), F.col("depends_on").alias("child")))
+    links = found.select(F.col("path").alias("parent"), F.col("depends_on").alias("child"))
     return loop_members(links).select(F.col("loop").alias("cycle_id"), F.col("node").alias("path"))
 
 

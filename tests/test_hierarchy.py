@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from graphloom.operators.hierarchy import descendants, hierarchy, loops, parent_child
+from graphloom.operators import hierarchy as module
+from graphloom.operators.hierarchy import descendants, hierarchy, loop_members, loops, parent_child
 
 LINKS = "parent string, child string"
 
@@ -64,6 +66,40 @@ def test_loops_of_one_graph(spark):
         assert {tuple(r) for r in loops(spark.createDataFrame(links, LINKS)).collect()} == brute_loops(links)
 
 
+def brute_members(links):
+    reach = brute_reach(links)
+    return sorted((n, min(m for m in reach[n] if n in reach[m])) for n in reach if n in reach[n])
+
+
+@pytest.mark.parametrize("in_task", [module.IN_TASK, 150])
+def test_loop_members(spark, in_task):
+    """In one task, and in one for what all tasks left."""
+    assert sorted(map(tuple, loop_members(spark.createDataFrame(ALL, LINKS), in_task).collect())) == brute_members(ALL)
+
+
+def test_strong_parts_of_a_long_loop():
+    n = 200_000
+    ids, parts = module.strong_parts(np.arange(n), np.r_[np.arange(1, n - 10), 0, np.arange(n - 9, n + 1)])
+    assert ids.tolist() == list(range(n - 10)) and len(set(parts.tolist())) == 1
+
+
+def test_plans_stay_small_where_lines_join_often(spark, monkeypatch):
+    """Each level above the loop has two parents, so each is a round that folds back; plans must not double with each."""
+    sizes, cut = [], module.cut_lineage
+
+    def measured(df):
+        sizes.append(len(df._jdf.queryExecution().analyzed().toString()))
+        assert sizes[-1] < 30_000, f"step {len(sizes)} has a plan of {sizes[-1]} characters"
+        return cut(df)
+
+    monkeypatch.setattr(module, "cut_lineage", measured)
+    ladder = [(f"{a}{k}", f"{b}{k + 1}") for k in range(7) for a in "ab" for b in "ab"]
+    links = [("z", "a7"), ("a7", "z"), *ladder]
+    assert sorted(map(tuple, loop_members(spark.createDataFrame(links, LINKS), 0).collect())) == [("a7", "a7"), ("z", "a7")]
+    sizes.clear()
+    assert sorted(map(tuple, loop_members(spark.createDataFrame(links, LINKS)).collect())) == [("a7", "a7"), ("z", "a7")] and len(sizes) <= 3
+
+
 def test_large_component_with_two_parents(spark):
     """No step may pair nodes with their ancestors: here that would be 10**10 pairs."""
     r = random.Random(3)
